@@ -64,8 +64,9 @@ def targets(sizes: DataFrame, weights=WEIGHTS, cap: float = CAP) -> DataFrame:
         F.sum("w").over(everyone) - F.coalesce(F.sum("w").over(before), F.lit(0.0))
     )
     ranked = ranked.withColumn("level", level)
-    # Below the level: capped. The first source that isn't has the final level, the least of the uncapped ones' is its own.
-    final = F.min(F.when(F.col("level") * F.col("w") < F.col("most"), F.col("level"))).over(everyone)
+    # The first source in this order that its level leaves below its cap has the final level.
+    whole = before.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    final = F.first(F.when(F.col("level") * F.col("w") < F.col("most"), F.col("level")), ignorenulls=True).over(whole)
     out = ranked.withColumn("target", F.coalesce(F.least(F.col("most"), final * F.col("w")), F.col("most")))
     return out.select("source", "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rate"))
 
@@ -122,7 +123,8 @@ weighed AS (SELECT source, source_size, 3.0::DOUBLE * source_size AS most,
     CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS w FROM sizes),
 levels AS (SELECT *, ((sum(source_size) OVER ())::DOUBLE - coalesce(sum(most) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS lev
     FROM weighed WINDOW b AS (ORDER BY most / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-final AS (SELECT source, source_size, coalesce(least(most, min(CASE WHEN lev * w < most THEN lev END) OVER () * w), most) AS target FROM levels),
+final AS (SELECT source, source_size, coalesce(least(most, first_value(CASE WHEN lev * w < most THEN lev END IGNORE NULLS) OVER a * w), most) AS target FROM levels
+    WINDOW a AS (ORDER BY most / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
 rates AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM final),
 tried AS (SELECT s.doc_id, s.source, s.size, r.source_size, r.target, k.seed,
     (floor(r.rate) + CASE WHEN ('0x' || substr(md5(k.seed || ':' || coalesce(s.doc_id::VARCHAR, '')), 1, 8))::BIGINT < (r.rate - floor(r.rate)) * 4294967296.0 THEN 1 ELSE 0 END)::BIGINT * s.size AS taken

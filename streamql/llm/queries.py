@@ -1,8 +1,9 @@
 """The registered queries of this subpackage and the SQL of those that SQL can express."""
 
-from . import mixing
+from . import licenses, mixing
 
 QUERIES = {
+    "op10_licenses": licenses.op10_licenses,
     "op8_mixing": mixing.op8_mixing,
 }
 
