@@ -1,12 +1,15 @@
 """The registered queries of this subpackage and the SQL of those that SQL can express."""
 
-from . import licenses, mixing
+from . import licenses, mixing, quality, topk
 
 QUERIES = {
+    "op4_quality": quality.op4_quality,
+    "op3_topk": topk.op3_topk,
     "op10_licenses": licenses.op10_licenses,
     "op8_mixing": mixing.op8_mixing,
 }
 
 ORACLE_SQL = {
+    "op3_topk": topk.OP3_SQL,
     "op8_mixing": mixing.OP8_SQL,
 }
