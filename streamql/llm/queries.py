@@ -1,8 +1,9 @@
 """The registered queries of this subpackage and the SQL of those that SQL can express."""
 
-from . import licenses, mixing, quality, topk
+from . import licenses, mixing, quality, simhash, topk
 
 QUERIES = {
+    "op6_simhash": simhash.op6_simhash,
     "op4_quality": quality.op4_quality,
     "op3_topk": topk.op3_topk,
     "op10_licenses": licenses.op10_licenses,
