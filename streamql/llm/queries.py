@@ -1,8 +1,9 @@
 """The registered queries of this subpackage and the SQL of those that SQL can express."""
 
-from . import licenses, mixing, quality, simhash, topk
+from . import licenses, mixing, quality, simhash, substring, topk
 
 QUERIES = {
+    "op7_substring": substring.op7_substring,
     "op6_simhash": simhash.op6_simhash,
     "op4_quality": quality.op4_quality,
     "op3_topk": topk.op3_topk,
@@ -11,6 +12,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op7_substring": substring.OP7_SQL,
     "op3_topk": topk.OP3_SQL,
     "op8_mixing": mixing.OP8_SQL,
 }
