@@ -1,8 +1,9 @@
 """The registered queries of this subpackage and the SQL of those that SQL can express."""
 
-from . import licenses, mixing, quality, simhash, substring, topk
+from . import licenses, mixing, packing, quality, simhash, substring, topk
 
 QUERIES = {
+    "op1_packing": packing.op1_packing,
     "op7_substring": substring.op7_substring,
     "op6_simhash": simhash.op6_simhash,
     "op4_quality": quality.op4_quality,
