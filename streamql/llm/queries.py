@@ -1,8 +1,11 @@
 """The registered queries of this subpackage and the SQL of those that SQL can express."""
 
+import corpus_pipeline
+
 from . import licenses, mixing, packing, quality, simhash, substring, topk
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_packing": packing.op1_packing,
     "op7_substring": substring.op7_substring,
     "op6_simhash": simhash.op6_simhash,
@@ -17,3 +20,5 @@ ORACLE_SQL = {
     "op3_topk": topk.OP3_SQL,
     "op8_mixing": mixing.OP8_SQL,
 }
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
