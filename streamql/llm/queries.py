@@ -2,9 +2,10 @@
 
 import corpus_pipeline
 
-from . import licenses, mixing, packing, quality, simhash, substring, topk
+from . import langid, licenses, mixing, packing, quality, simhash, substring, topk
 
 QUERIES = {
+    "op2_language": langid.op2_language,
     "pipeline": corpus_pipeline.run,
     "op1_packing": packing.op1_packing,
     "op7_substring": substring.op7_substring,
