@@ -2,9 +2,10 @@
 
 import corpus_pipeline
 
-from . import chat, langid, licenses, mixing, packing, quality, simhash, substring, topk
+from . import chat, langid, licenses, mixing, packing, quality, simhash, substring, tokencount, topk
 
 QUERIES = {
+    "op9_tokens": tokencount.op9_tokens,
     "op5_chat": chat.op5_chat,
     "op2_language": langid.op2_language,
     "pipeline": corpus_pipeline.run,
