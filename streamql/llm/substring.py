@@ -85,14 +85,13 @@ class _Hasher:
         return h * np.uint64(0xD6E8FEB86659FD93)
 
 
-def _texts(batches):
-    """Chunks of (doc_id, text bytes, further columns as lists) of about CHUNK bytes."""
+def _texts(batches, *more):
+    """Chunks of (doc_id, text bytes, further columns) of about CHUNK bytes."""
     held, size = [], 0
     for b in batches:
-        ids = b.column(0).to_pylist()
-        texts = b.column(1).cast(pa.binary()).to_pylist()
-        more = [b.column(i).to_pylist() for i in range(2, b.num_columns)]
-        for row in zip(ids, texts, *more):
+        at = b.schema.get_field_index
+        texts = b.column(at("text")).cast(pa.binary()).to_pylist()
+        for row in zip(b.column(at("doc_id")).to_pylist(), texts, *(b.column(at(m)).to_pylist() for m in more)):
             held.append(row)
             size += len(row[1] or b"")
             if size >= CHUNK:
@@ -139,24 +138,38 @@ def _anchors(batches):
         key, doc, place = np.concatenate(keys), np.concatenate(docs), np.concatenate(places).astype(np.int32)
         least, shared = _first_of_groups(key, doc)
         # What is known goes under a hash of its place, so that it spreads; the smallest document's also meets the others.
-        own = (place.astype(np.uint64) * np.uint64(MULTIPLIERS[1]) ^ doc.astype(np.uint64) * np.uint64(MULTIPLIERS[0])) * np.uint64(0xD6E8FEB86659FD93)
-        h = np.concatenate((key[least], own[shared]))
+        h = np.concatenate((key[least], _spread(doc, place)[shared]))
         yield pa.RecordBatch.from_arrays(
             [pa.array(h.view(np.int64)), pa.array(np.concatenate((doc[least], doc[shared]))), pa.array(np.concatenate((place[least], place[shared]))), pa.array(np.r_[np.zeros(least.sum(), bool), np.ones(shared.sum(), bool)])],
             names=["h", "doc_id", "pos", "known"],
         )
 
 
+def _runs(doc, place):
+    """Rows sorted by (doc, place) as runs of consecutive places: doc, first place, length."""
+    cut = np.flatnonzero(np.r_[True, (np.diff(doc) != 0) | (np.diff(place) != 1)]) if len(doc) else np.zeros(0, dtype=np.int64)
+    return doc[cut], place[cut], np.diff(np.r_[cut, len(doc)])
+
+
+def _spread(doc, place):
+    """A hash of a place, to deal rows that meet no others."""
+    return (place.astype(np.uint64) * np.uint64(MULTIPLIERS[1]) ^ doc.astype(np.uint64) * np.uint64(MULTIPLIERS[0])) * np.uint64(0xD6E8FEB86659FD93)
+
+
+#: h: window hash; rest: its other 32 bits above the place; n: 0 for a window, else the length of a run of lost ones at the place.
+WINDOW_ROW = "h long, doc_id long, rest long, n int"
+
+
 def _shared_windows(batches):
-    """Windows around shared anchors: of each window the chunk's smallest document's, plus places already lost."""
+    """Windows around shared anchors: of each window the chunk's smallest document's, plus runs already lost."""
     hasher = _Hasher()
-    for chunk in _texts(batches):
+    for chunk in _texts(batches, ANCHORS):
         first, second, docs, places = [], [], [], []
         for doc, text, anchors in chunk:
+            if not anchors:
+                continue
             codes = hasher.codes(text)
             n = len(codes) - WINDOW + 1
-            if n < 1:
-                continue
             edge = np.zeros(n + PERIOD + 1, dtype=np.int32)
             a = np.unique(np.array(anchors, dtype=np.int64))
             np.add.at(edge, np.clip(a - PERIOD + 1, 0, n), 1)
@@ -168,58 +181,65 @@ def _shared_windows(batches):
             places.append(at)
         if not first:
             continue
-        h, g, doc, place = np.concatenate(first), np.concatenate(second), np.concatenate(docs), np.concatenate(places).astype(np.int32)
+        h, g, doc, place = np.concatenate(first), np.concatenate(second), np.concatenate(docs), np.concatenate(places)
         least, _ = _first_of_groups(h ^ (g * np.uint64(MULTIPLIERS[1])), doc)
-        own = (place.astype(np.uint64) * np.uint64(MULTIPLIERS[1]) ^ doc.astype(np.uint64) * np.uint64(MULTIPLIERS[0])) * np.uint64(0xD6E8FEB86659FD93)
-        order = np.r_[np.flatnonzero(least), np.flatnonzero(~least)]
-        lost = ~least[order]
+        order = np.lexsort((place[~least], doc[~least]))
+        lost_doc, lost_at, lost_n = _runs(doc[~least][order], place[~least][order])
+        rest = np.r_[(g[least] << np.uint64(32) | place[least].astype(np.uint64)).view(np.int64), lost_at]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.where(lost, own[order], h[order]).view(np.int64)), pa.array(g[order].astype(np.uint32).view(np.int32)), pa.array(doc[order]), pa.array(place[order]), pa.array(lost)],
-            names=["h", "g", "doc_id", "pos", "known"],
+            [pa.array(np.r_[h[least], _spread(lost_doc, lost_at)].view(np.int64)), pa.array(np.r_[doc[least], lost_doc]), pa.array(rest), pa.array(np.r_[np.zeros(least.sum(), np.int32), lost_n.astype(np.int32)])],
+            names=["h", "doc_id", "rest", "n"],
         )
 
 
 def _removal(text: bytes | None, lost):
-    """Words, a mask of the words to keep."""
+    """Words, and a mask of the words to keep. lost: runs of windows, as place << 32 | length."""
     words = (text or b"").split()
     keep = np.ones(len(words), bool)
     if lost:
         edge = np.zeros(len(words) + 1, dtype=np.int32)
-        a = np.unique(np.array(lost, dtype=np.int64))
-        np.add.at(edge, a, 1)
-        np.add.at(edge, a + WINDOW, -1)
+        runs = np.array(lost, dtype=np.int64)
+        start = runs >> 32
+        np.add.at(edge, start, 1)
+        np.add.at(edge, start + (runs & 0xFFFFFFFF) - 1 + WINDOW, -1)
         keep = np.cumsum(edge[:-1]) <= 0
     return words, keep
 
 
-def lost_windows(texts: DataFrame) -> DataFrame:
-    """(doc_id, lost array<int>): starts of the windows to remove, for documents that have some.
+ANCHORS, LOST, ID = "__substring_anchors", "__substring_lost", "__substring_id"
 
-    texts: (doc_id, text), dealt by doc_id.
+
+def with_lost_windows(dealt: DataFrame) -> DataFrame:
+    """dealt and the runs of windows to remove per row (null: none).
+
+    dealt: (doc_id long, text, ...), repartitioned by doc_id. Its three uses ask for the same
+    rows and columns, so that its exchange is made once and reused; hence the left joins,
+    and no filter here.
     """
-    rows = texts.where("doc_id is not null").mapInArrow(_anchors, ANCHOR_ROW)
+    rows = dealt.mapInArrow(_anchors, ANCHOR_ROW)
     by = Window.partitionBy("h")
     met = rows.withColumn("low", F.min("doc_id").over(by)).withColumn("high", F.max("doc_id").over(by))
-    shared = met.where("known or low < high").groupBy("doc_id").agg(F.collect_list("pos").alias("anchors"))
-    near = texts.join(shared, "doc_id").select("doc_id", "text", "anchors")
-    whole = near.mapInArrow(_shared_windows, "h long, g int, doc_id long, pos int, known boolean")
-    low = whole.withColumn("low", F.min("doc_id").over(Window.partitionBy("h", "g")))
-    return low.where("known or low < doc_id").groupBy("doc_id").agg(F.collect_list("pos").alias("lost"))
+    shared = met.where("known or low < high").groupBy(F.col("doc_id").alias(ID)).agg(F.collect_list("pos").alias(ANCHORS))
+    near = dealt.join(shared, dealt["doc_id"] == shared[ID], "left").drop(ID)
+    n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    whole = near.mapInArrow(_shared_windows, WINDOW_ROW).repartition(n, "h").withColumn("g", F.shiftright("rest", 32))
+    low = whole.withColumn("low", F.min("doc_id").over(Window.partitionBy("h", "g"))).where("n > 0 or low < doc_id")
+    run = F.shiftleft(F.col("rest").bitwiseAND(F.lit(0xFFFFFFFF)), 32).bitwiseOR(F.greatest("n", F.lit(1)).cast("long"))
+    lost = low.groupBy(F.col("doc_id").alias(ID)).agg(F.collect_list(run).alias(LOST))
+    return dealt.join(lost, dealt["doc_id"] == lost[ID], "left").drop(ID)
 
 
 def _dealt(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) by doc_id, in as many partitions as the session shuffles to."""
+    """docs by doc_id, in as many partitions as the session shuffles to."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).repartition(n, "doc_id")
+    return docs.repartition(n, "doc_id")
 
 
 def dedup_digest(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) per row of docs."""
-    texts = _dealt(docs)
-    both = texts.join(lost_windows(texts), "doc_id", "left").select("doc_id", "text", "lost")
 
     def rows(batches):
-        for chunk in _texts(batches):
+        for chunk in _texts(batches, LOST):
             out = []
             for doc, text, lost in chunk:
                 words, keep = _removal(text, lost)
@@ -227,7 +247,8 @@ def dedup_digest(docs: DataFrame) -> DataFrame:
                 out.append((doc, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return both.mapInArrow(rows, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    dealt = _dealt(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]))
+    return with_lost_windows(dealt).mapInArrow(rows, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -235,12 +256,8 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     A text that loses nothing stays as it is, white space included; of another the kept
     words are joined by single spaces. A document that loses all its words is left out.
+    doc_id is a long.
     """
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.repartition(n, "doc_id")
-    lost = lost_windows(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]))
-    lost = lost.select(F.col("doc_id").alias("_lost_id"), F.col("lost").alias("_lost"))
-    both = docs.join(lost, docs["doc_id"] == lost["_lost_id"], "left")
     names = docs.columns
     at, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else -1
 
@@ -263,7 +280,7 @@ def dedup(docs: DataFrame) -> DataFrame:
                 cols[chars] = pa.array(sizes, cols[chars].type)
             yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(keep_row))
 
-    return both.select(*(docs[c] for c in names), "_lost").mapInArrow(rows, docs.schema)
+    return with_lost_windows(_dealt(docs)).mapInArrow(rows, docs.schema)
 
 
 def op7_substring(spark, sf_dir: str) -> DataFrame:
