@@ -37,6 +37,13 @@ def window_agg(windowed: DataFrame, keys: list, aggs: list[Column]) -> DataFrame
     return windowed.groupBy(*by).agg(*aggs) if aggs else windowed.select(*by).distinct()
 
 
+def stream_window_agg(df: DataFrame, ts: str, size: str, keys: list, aggs: list[Column], slide: str | None = None) -> DataFrame:
+    """Tumbling or hopping aggregation that closes by watermark: it groups by the window itself, which carries the watermark."""
+    out = df.groupBy(*keys, F.window(ts, size, slide or size).alias("_w")).agg(*aggs)
+    rest = [c for c in out.columns if c != "_w" and c not in keys]
+    return out.select(*keys, F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), *rest)
+
+
 def hop_agg(df: DataFrame, ts: str, slide: str, size: str, keys: list, partial: dict[str, tuple[Column, str]]) -> DataFrame:
     """Hopping aggregation by shared slices: rows are aggregated once per slide, then slices are fanned out.
 
