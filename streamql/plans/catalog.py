@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from streamql.functions import aggregates as A
 from streamql.functions import expressions as E
 from streamql.operators import changelog, joins, rank, relational, windows
+from streamql.sources import formats
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -298,3 +299,42 @@ simple("changelog_collapse", "events", lambda e: changelog.collapse(_log(e).drop
        f"SELECT k, event_type FROM (SELECT k, event_type, unnest(range(SUM(CASE WHEN row_kind IN ('-U', '-D') THEN -1 ELSE 1 END)::BIGINT)) FROM {_LOG} GROUP BY k, event_type)")
 simple("changelog_normalize", "events", lambda e: changelog.normalize(_log(e), ["k"], "event_id"),
        f"SELECT k, event_type, event_id FROM (SELECT * FROM {_LOG} WHERE row_kind <> '-U' QUALIFY row_number() OVER (PARTITION BY k ORDER BY event_id DESC) = 1) WHERE row_kind <> '-D'")
+
+# Formats: rows written as messages and read back are the rows.
+
+_EVENT = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+_ALL = "SELECT event_id, ts, user_id, event_type, value, props FROM events"
+
+
+def _events(e):
+    return e.select("event_id", "ts", "user_id", "event_type", "value", "props")
+
+
+for _name in ("json", "csv", "avro"):
+    simple(f"format_{_name}", "events", lambda e, f=_name: formats.decode(formats.encode(_events(e), f), f, _EVENT), _ALL if _name != "avro" else _ALL.replace(" ts,", " date_trunc('milliseconds', ts) AS ts,"))
+simple("format_raw", "events", lambda e: formats.decode_raw(e.select("event_id", c("event_type").cast("binary").alias("value")), "event_type"), "SELECT event_id, event_type FROM events")
+simple("format_json_lenient", "events", lambda e: formats.decode_json(e.select("event_id", F.concat(F.lit('[{"n": " '), "user_id", F.lit('", "v": "x"}, {"n": "y"}]')).cast("binary").alias("value")), "n bigint, v string", ignore_parse_errors=True),
+       "SELECT event_id, user_id AS n, 'x' AS v FROM events UNION ALL SELECT event_id, NULL, NULL FROM events")
+
+
+def _kinds(e):
+    kind = F.when(c("event_id") % 3 == 0, "-D").otherwise("+I")
+    return e.select(kind.alias("row_kind"), c("event_id").alias("id"), c("event_type").alias("name"), c("value").alias("score"))
+
+
+for _name in formats.CDC:
+    simple(f"cdc_{_name}", "events", lambda e, d=_name: formats.decode_cdc(formats.encode_cdc(_kinds(e), d), "id bigint, name string, score double", d),
+           "SELECT CASE WHEN event_id % 3 = 0 THEN '-D' ELSE '+I' END AS row_kind, event_id AS id, event_type AS name, value AS score FROM events")
+
+
+def _updates(e):
+    row = lambda v: F.struct(c("event_id").alias("id"), c("event_type").alias("name"), v.alias("score"))
+    return e.select(F.to_json(F.struct(row(c("value")).alias("before"), row(c("value") + 1).alias("after"), F.lit("u").alias("op"))).cast("binary").alias("value"))
+
+
+simple("cdc_update_pairs", "events", lambda e: formats.decode_cdc(_updates(e), "id bigint, name string, score double", "debezium"),
+       "SELECT '-U' AS row_kind, event_id AS id, event_type AS name, value AS score FROM events UNION ALL SELECT '+U', event_id, event_type, value + 1 FROM events")
+simple("changelog_difference", "events", lambda e: changelog.difference(e.where("event_id % 5 <> 0").select("event_id", "value"), e.where("event_id % 7 <> 0").select("event_id", (c("value") + (c("event_id") % 2)).alias("value")), ["event_id"]),
+       """WITH a AS (SELECT event_id, value FROM events WHERE event_id % 5 <> 0), b AS (SELECT event_id, value + event_id % 2 AS value FROM events WHERE event_id % 7 <> 0)
+          SELECT CASE WHEN b.event_id IS NULL THEN '-D' ELSE '-U' END AS row_kind, a.event_id, a.value FROM a LEFT JOIN b USING (event_id) WHERE b.event_id IS NULL OR a.value <> b.value
+          UNION ALL SELECT CASE WHEN a.event_id IS NULL THEN '+I' ELSE '+U' END, b.event_id, b.value FROM b LEFT JOIN a USING (event_id) WHERE a.event_id IS NULL OR a.value <> b.value""")

@@ -18,6 +18,9 @@ def _schema(schema) -> T.StructType:
     return schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
 
 
+#: Timestamps in messages keep their microseconds.
+TIMES = {"timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}
+
 # JSON.
 
 
@@ -74,7 +77,8 @@ def encode_json(df: DataFrame, *, ignore_null_fields: bool = False, map_null_key
         elif isinstance(f.dataType, T.MapType) and map_null_key == "LITERAL":
             x = F.transform_keys(x, lambda k, _: F.coalesce(k, F.lit(literal)))
         cols.append(x.alias(f.name))
-    return df.select(F.to_json(F.struct(*cols), {"ignoreNullFields": str(ignore_null_fields).lower()}).cast("binary").alias("value"))
+    options = {"ignoreNullFields": str(ignore_null_fields).lower()} | TIMES
+    return df.select(F.to_json(F.struct(*cols), options).cast("binary").alias("value"))
 
 
 # CSV.
@@ -83,7 +87,7 @@ def encode_json(df: DataFrame, *, ignore_null_fields: bool = False, map_null_key
 def decode_csv(df: DataFrame, schema, value: str = "value", *, delimiter: str = ",", quote: str | None = '"', comments: bool = False, null_literal: str | None = None, ignore_parse_errors: bool = False) -> DataFrame:
     """One CSV record per message. A bad field is NULL and a short row padded if errors are ignored, else they fail."""
     schema = _schema(schema)
-    options = {"sep": delimiter, "quote": quote or "", "mode": "PERMISSIVE"}
+    options = {"sep": delimiter, "quote": quote or "", "escape": quote or "\\", "mode": "PERMISSIVE"}
     if comments:
         options["comment"] = "#"
     loose = ", ".join(f"`{f.name}` STRING" for f in schema)
@@ -213,7 +217,7 @@ def encode_cdc(df: DataFrame, dialect: str) -> DataFrame:
         body = F.struct(image.alias("data"), op)
     else:
         body = F.struct(F.when(~adds, image).alias(d["before"]), F.when(adds, image).alias(d["after"]), op)
-    return df.select(F.to_json(body, {"ignoreNullFields": "false"}).cast("binary").alias("value"))
+    return df.select(F.to_json(body, {"ignoreNullFields": "false"} | TIMES).cast("binary").alias("value"))
 
 
 # Avro.
