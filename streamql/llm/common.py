@@ -1,4 +1,4 @@
-"""What the operators share: word pattern, shared storage, column hygiene."""
+"""What the operators share: word pattern, shared storage."""
 
 import tempfile
 import uuid
@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Columns of the documents table, in order.
-DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
@@ -32,19 +29,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table that stored() made and nothing needs any more."""
-    jvm, spark = df.sparkSession._jvm, df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def ascii_lower(text):
     """A-Z to a-z, nothing else: Spark's lower() would fold all of Unicode."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
-
-def pick(docs: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns: extra columns, whatever their names, stay out of an operator."""
-    return docs.select(*(docs[n] for n in names))

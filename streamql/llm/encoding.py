@@ -68,13 +68,14 @@ class Encoder:
 
             ranks = {bytes(letters[c] for c in t): i for t, i in vocab.items() if t not in special}
             own = tiktoken.Encoding("own", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={})
-            self.piece = lambda s: np.array(own.encode_ordinary(s), dtype="<u4").tobytes()
+            self.ids = own.encode_ordinary
         else:
             from tokenizers import Tokenizer
 
             whole = Tokenizer.from_str(content)
             whole.encode_special_tokens = True
-            self.piece = lambda s: np.array(whole.encode(s, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            self.ids = lambda s: whole.encode(s, add_special_tokens=False).ids
+        self.piece = lambda s: np.array(self.ids(s), dtype="<u4").tobytes()
         self.first, self.rest = _Cache(self.piece, ""), _Cache(self.piece, " ")
 
     def encode(self, text: str) -> bytes:

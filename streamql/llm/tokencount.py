@@ -1,6 +1,7 @@
 """Edit-aware token counts.
 
-A document's pre-tokens are grouped into leaves of LEAF; a segment tree holds for every
+A document's pre-tokens are grouped into leaves (LEAF pre-tokens, or LEAF runs of them that
+start at a space); a segment tree holds for every
 subtree its characters and its tokens. An edit goes down by characters to the leaf
 before its first changed character, pre-tokenises from that leaf's start, and stops as
 soon as a pre-token ends where an untouched leaf begins: from there on the text, and so
@@ -23,23 +24,50 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .encoding import encoder, read_spec
+from .encoding import UNSAFE, encoder, read_spec
 
-LEAF = 64
+LEAF = 16
 STATE = "doc_id long, text string, n_tokens long, n_pretokens long, tree_chars array<int>, tree_tokens array<int>"
 
 
+class _Runs(dict):
+    """Text between spaces -> tokens << 32 | pre-tokens of it, the space in front included; bounded."""
+
+    def __init__(self, counter, prefix):
+        self.counter, self.prefix = counter, prefix
+
+    def __missing__(self, piece):
+        whole = self.prefix + piece
+        n = len(self.counter.ids(whole)) << 32 | len(self.counter.pattern.findall(whole))
+        if len(piece) <= 64:
+            if len(self) >= 400_000:
+                self.clear()
+            self[piece] = n
+        return n
+
+
 class Counter:
     """Tokens per pre-token, remembered in a bounded cache."""
 
     def __init__(self, spec):
-        self.piece, self.cached = encoder(spec).piece, {}
+        self.ids, self.cached = encoder(spec).ids, {}
         self.pattern = regex.compile(spec[1])
+        self.first, self.rest = _Runs(self, ""), _Runs(self, " ")
+
+    def runs(self, text: str):
+        """(characters, tokens) of the runs of pre-tokens that start at a space, and the number of pre-tokens; None where a space may stand inside one."""
+        if UNSAFE.search(text):
+            return None
+        head, *tail = text.split(" ")
+        packed = np.fromiter(map(self.rest.__getitem__, tail), np.int64, len(tail))
+        packed = np.concatenate(([self.first[head]], packed))
+        chars = np.fromiter(map(len, tail), np.int64, len(tail)) + 1
+        return np.stack((np.concatenate(([len(head)], chars)), packed >> 32), axis=1), int((packed & 0xFFFFFFFF).sum())
 
     def tokens(self, pretoken: str) -> int:
         n = self.cached.get(pretoken)
         if n is None:
-            n = len(self.piece(pretoken)) // 4
+            n = len(self.ids(pretoken))
             if len(pretoken) <= 64:
                 if len(self.cached) >= 400_000:
                     self.cached.clear()
@@ -66,8 +94,12 @@ class Tree:
         if heap is not None:
             self.heap, self.pretokens = heap, pretokens
             return
-        sizes = self._sizes(counter.pattern.findall(text))
-        self.pretokens = len(sizes)
+        runs = counter.runs(text)
+        if runs is None:
+            sizes = self._sizes(counter.pattern.findall(text))
+            self.pretokens = len(sizes)
+        else:
+            sizes, self.pretokens = runs
         self.heap = _heap(self._grouped(sizes))
 
     def _sizes(self, pretokens):
@@ -99,15 +131,20 @@ class Tree:
         leaf, begin = self.find(max(0, start - 1)) if self.text else (0, 0)
         text = self.text[:start] + replacement + self.text[end:]
         shift = len(text) - len(self.text)
-        # Starts of the leaves behind the edit, in the new text.
+        # Ends of the leaves from here on, in the new text; only those behind the edit can be where old and new meet again.
         ends = np.cumsum(self.heap[m + leaf :, 0]) + begin
-        stops = {int(e) + shift: leaf + i + 1 for i, e in zip(range(len(ends) - 1, -1, -1), ends[::-1]) if e >= end}
+        at = int(np.searchsorted(ends, end))
+        ends, behind = ends + shift, start + len(replacement)
         found, last = [], m
         for match in self.counter.pattern.finditer(text, begin):
             found.append(match[0])
-            if match.end() in stops and match.end() > start + len(replacement):
-                last = stops[match.end()]
-                break
+            here = match.end()
+            if here > behind:
+                while at < len(ends) and ends[at] < here:
+                    at += 1
+                if at < len(ends) and ends[at] == here:
+                    last = leaf + at + 1
+                    break
         new = self._grouped(self._sizes(found)) if found else np.zeros((1, 2), dtype=np.int64)
         stop = int(self.heap[m : m + last, 0].sum())
         gone = 0
