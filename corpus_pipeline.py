@@ -8,7 +8,7 @@ columns of documents.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamql.llm import common, mixing, packing, quality, simhash, substring
+from streamql.llm import common, jaccard, mixing, packing, quality, substring
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,9 +20,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: that with the smallest doc_id.
 
+    Near: five-word shingles with a Jaccard similarity of 0.8 or more, or SimHashes as op6 links them.
     Of rows that repeat that doc_id one stays; rows without doc_id stay as they are.
     """
-    found = simhash.near_duplicates(docs)
+    found = jaccard.near_duplicates(docs)
     goes = found.where("doc_id > component_id").select(F.col("doc_id").alias("_goes"))
     left = docs.join(goes, docs["doc_id"] == goes["_goes"], "left_anti")
     known = left.where(left["doc_id"].isNotNull())
