@@ -199,6 +199,14 @@ for _how, _sql in [("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JO
 
     query(f"join_{_how}", f"SELECT o_orderkey, c_custkey FROM (SELECT * FROM orders WHERE o_orderkey % 3 = 0) {_sql} (SELECT * FROM customer WHERE c_custkey % 2 = 0) ON o_custkey = c_custkey")(_join)
 
+# The same over the whole tables; the condition in ON leaves rows of both sides without a match.
+for _how, _sql in [("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("full", "FULL JOIN")]:
+
+    def _whole(spark, sf_dir, how=_how):
+        return joins.join(table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer"), c("o_custkey") == c("c_custkey"), how, c("o_totalprice") > 250000).select("o_orderkey", "c_custkey")
+
+    query(f"join_{_how}_whole", f"SELECT o_orderkey, c_custkey FROM orders {_sql} customer ON o_custkey = c_custkey AND o_totalprice > 250000")(_whole)
+
 for _how, _sql in [("left_semi", "EXISTS"), ("left_anti", "NOT EXISTS")]:
 
     def _half(spark, sf_dir, how=_how):
@@ -338,3 +346,7 @@ simple("changelog_difference", "events", lambda e: changelog.difference(e.where(
        """WITH a AS (SELECT event_id, value FROM events WHERE event_id % 5 <> 0), b AS (SELECT event_id, value + event_id % 2 AS value FROM events WHERE event_id % 7 <> 0)
           SELECT CASE WHEN b.event_id IS NULL THEN '-D' ELSE '-U' END AS row_kind, a.event_id, a.value FROM a LEFT JOIN b USING (event_id) WHERE b.event_id IS NULL OR a.value <> b.value
           UNION ALL SELECT CASE WHEN a.event_id IS NULL THEN '+I' ELSE '+U' END, b.event_id, b.value FROM b LEFT JOIN a USING (event_id) WHERE a.event_id IS NULL OR a.value <> b.value""")
+simple("changelog_difference_whole", "events", lambda e: changelog.difference(e.select("event_id", "value"), e.select("event_id", (c("value") + (c("event_id") % 2)).alias("value")), ["event_id"]),
+       """WITH b AS (SELECT event_id, value + event_id % 2 AS value FROM events)
+          SELECT '-U' AS row_kind, a.event_id, a.value FROM events a JOIN b USING (event_id) WHERE a.value <> b.value
+          UNION ALL SELECT '+U', b.event_id, b.value FROM b JOIN events a USING (event_id) WHERE a.value <> b.value""")

@@ -43,3 +43,14 @@ def test_query(spark, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "right", "full"])
+def test_whole_joins_read_all_rows(spark, duck, how):
+    got = catalog.QUERIES[f"join_{how}_whole"](spark, SF).collect()
+    if how in ("left", "full"):
+        assert len({r.o_orderkey for r in got} - {None}) == duck.sql("SELECT count(*) FROM orders").fetchall()[0][0]
+    if how in ("right", "full"):
+        assert len({r.c_custkey for r in got} - {None}) == duck.sql("SELECT count(*) FROM customer").fetchall()[0][0]
+    assert any(r.o_orderkey is None for r in got) == (how in ("right", "full"))
+    assert any(r.c_custkey is None for r in got) == (how in ("left", "full"))
