@@ -32,6 +32,14 @@ SHINGLE = 5
 SAMPLE, FREQUENT = 20_000, 1 << 16
 #: So many ids are broadcast at most.
 BROADCAST = 200_000
+ROWS = 256
+
+
+def _slices(batches):
+    """Batches of ROWS rows at most: a task holds the shingles of one."""
+    for b in batches:
+        for at in range(0, b.num_rows, ROWS):
+            yield b.slice(at, ROWS)
 
 
 class _Words(dict):
@@ -71,7 +79,7 @@ def _texts(b, at=0):
 def _keys(batches):
     """doc_id, fingerprint and id of the shingle set per row."""
     shingler = _Shingler()
-    for b in batches:
+    for b in _slices(batches):
         texts = _texts(b, 1)
         fp = _signed([simhash.fingerprint(t or b"") for t in texts])
         yield pa.RecordBatch.from_arrays([b.column(0), fp, _signed([_sid(shingler.set(t)) for t in texts])], names=["doc_id", "fp", "sid"])
@@ -79,7 +87,7 @@ def _keys(batches):
 
 def _tokens(batches):
     shingler = _Shingler()
-    for b in batches:
+    for b in _slices(batches):
         sets = [shingler.set(t) for t in _texts(b)]
         if sets:
             yield pa.RecordBatch.from_arrays([_signed(np.concatenate(sets))], names=["token"])
@@ -101,7 +109,7 @@ def _prefixes(token, count):
 
     def rows(batches):
         shingler, seen = _Shingler(), set()
-        for b in batches:
+        for b in _slices(batches):
             out = []
             for t in _texts(b):
                 own = shingler.set(t)
@@ -125,7 +133,7 @@ def _prefixes(token, count):
 
 def _sets(batches):
     shingler = _Shingler()
-    for b in batches:
+    for b in _slices(batches):
         sets = [shingler.set(t) for t in _texts(b)]
         if sets:
             ends = np.cumsum([0] + [len(x) for x in sets], dtype=np.int32)
