@@ -13,10 +13,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session names none (local tests) a temporary folder is set.
+    Where the session names none, a session that runs on this machine alone (tests) gets a
+    temporary folder; on a cluster that would not be shared, so it is an error.
     """
     own = spark.conf.get("spark.checkpoint.dir", "") or getattr(spark, "_streamql_dir", "")
     if not own:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         own = spark._streamql_dir = "file://" + tempfile.mkdtemp(prefix="streamql-")
     return own.rstrip("/")
 
@@ -26,10 +30,38 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/streamql/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.__dict__.setdefault("_streamql_made", [])
+    made.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._streamql_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that stored() gave and that nothing reads any more."""
+    for t in tables:
+        _delete(t.sparkSession, [t._streamql_path])
+
+
+def made(spark: SparkSession) -> set[str]:
+    """The tables that stored() has written in this session and that still stand."""
+    return set(spark.__dict__.get("_streamql_made", ()))
+
+
+def released(spark: SparkSession, paths=None) -> None:
+    """Delete intermediate tables: those given, else all of this session. Results that still read them must have been written."""
+    _delete(spark, list(made(spark) if paths is None else paths))
+
+
+def _delete(spark, paths):
+    jvm = spark._jvm
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        if path in spark.__dict__.get("_streamql_made", ()):
+            spark._streamql_made.remove(path)
 
 
 def ascii_lower(text):
     """A-Z to a-z, nothing else: Spark's lower() would fold all of Unicode."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-

@@ -1,49 +1,57 @@
-"""Near-duplicates by SimHash and by exact Jaccard similarity of five-word shingles.
+"""Near-duplicates by SimHash and by the Jaccard similarity of five-word shingles.
 
-Two texts are linked if their SimHash fingerprints are linked as in simhash.py, or if
-the sets of their SHINGLE-word shingles have a Jaccard similarity of 0.8 or more (9 x
-overlap >= 4 x sum of sizes). The second search is exact, a prefix-filter join: in any
-fixed order of all shingles, two such sets share one among the first size / 5 + 1 of
-each, and at the first that they share, what is left of both still suffices, as must
-what they share there and the longer rest. The order is by how often a shingle is seen in a sample of the documents, rare ones first, so
-shared passages stay out of the prefixes; the sample decides on speed only.
+Two texts are linked if the sets of their SHINGLE-word shingles have a Jaccard similarity
+of 0.8 or more (9 x overlap >= 4 x sum of sizes, compared exactly), or if the SimHashes
+of these sets are linked as in simhash.py. Texts with equal sets are one row from the
+start, so copies weigh one row however many there are.
 
-Texts with equal sets are one row from the start. Of the sets that meet in a shingle
-all are first held against one of them; what that links is one component. Then only
-pairs across components are compared, so a large group of near copies makes a row per
-member and not per pair. Sets that do meet across components are all compared.
+SimHash alone does not reach 0.8: two such sets differ in some 10 of 64 bits. So candidates
+come from MinHash bands besides: BANDS keys of ROWS minima each. Sets that share a key form
+a node. A node gets the sets of its members and compares them all, and it reports a
+spanning forest of the links found, never pairs. A pair at just 0.8 shares no band with
+probability (1 - 0.8^4)^24, 3 in a million; at 0.85 it is 9 in a billion.
+
+Bands are taken in rounds (ROUNDS), with components in between: a node is skipped where its
+members are one component already, or where all of them met in one node of an earlier
+round. So most sets travel once or twice, not once per band.
+
+Hot nodes. A node of more than NODE_SETS sets or NODE_SHINGLES shingles is cut into blocks, and
+every two blocks meet in a tile of their own: no task holds more than two blocks and no
+pair is left out. The cost of such a node is the square of its number of blocks; it arises only
+where thousands of different texts share all minima of a band, that is, are nearly equal.
 
 Defined results. Words are folded as in simhash.py. Fewer words than a shingle: the
-whole sequence is the one shingle. Wordless texts are linked with each other only.
-Null and repeated doc_id: as in simhash.py. Empty table: empty result.
+whole sequence is the one shingle. Wordless texts are linked with each other only. Every
+row is judged by its own text, so a doc_id that repeats with other texts joins nothing.
+Rows that repeat are returned each. A null doc_id takes part, but never names a component
+that has another (null if it has none). Empty table: empty result. Only doc_id and text
+are read.
 """
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import common, simhash, substring
 
 SHINGLE = 5
-#: Documents that the order of shingles is estimated from, and shingles it tells apart.
-SAMPLE, FREQUENT = 20_000, 1 << 16
-#: So many ids are broadcast at most.
+BANDS, ROWS = 24, 4
+#: The bands of each round, as (first, end).
+ROUNDS = ((0, 2), (2, 6), (6, BANDS))
+#: A node with more sets, or more shingles in all, is cut into blocks.
+NODE_SETS, NODE_SHINGLES = 1024, 1 << 21
+#: So many keys are broadcast at most (16 bytes each).
 BROADCAST = 200_000
-ROWS = 256
-
-
-def _slices(batches):
-    """Batches of ROWS rows at most: a task holds the shingles of one."""
-    for b in batches:
-        for at in range(0, b.num_rows, ROWS):
-            yield b.slice(at, ROWS)
+#: Rows of a batch that are hashed together, and hashes of a block.
+BATCH, BLOCK = 256, 2048
+#: Odd multipliers, from a rule: each gives one order of all hashes.
+ORDERS = np.array([xxhash.xxh64_intdigest(f"order {i}") | 1 for i in range(BANDS * ROWS)], dtype=np.uint64)
 
 
 class _Words(dict):
-    """word -> 64-bit hash; smaller than the bounded one of substring.py, as fingerprints are made beside."""
+    """word -> 64-bit hash; bounded."""
 
     def __missing__(self, word):
         if len(self) >= 1 << 17:
@@ -64,154 +72,253 @@ class _Shingler:
         return np.unique(self.hasher.windows(codes, width, substring.MULTIPLIERS[width < SHINGLE])) if width else codes
 
 
-def _sid(own: np.ndarray) -> int:
+def _blocks(own: np.ndarray):
+    for a in range(0, len(own), BLOCK):
+        yield own[a : a + BLOCK]
+
+
+def set_id(own: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(own.tobytes(), 5)
 
 
-def _signed(x, dtype=np.uint64):
-    return pa.array(np.array(x, dtype=dtype).view(np.int64))
+def bands(own: np.ndarray) -> np.ndarray:
+    """The keys of a set's bands; they differ by band, too."""
+    least = np.full(BANDS * ROWS, 2**64 - 1, dtype=np.uint64)
+    for part in _blocks(own):
+        h = part[:, None] * ORDERS
+        h ^= h >> np.uint64(32)
+        np.minimum(least, h.min(axis=0), out=least)
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for i in range(ROWS):
+        key = (key ^ least[i::ROWS]) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key
 
 
-def _texts(b, at=0):
-    return b.column(at).cast(pa.binary()).to_pylist()
+def _signed(x):
+    return pa.array(np.array(x, dtype=np.uint64).view(np.int64))
+
+
+def _slices(batches):
+    for b in batches:
+        for at in range(0, b.num_rows, BATCH):
+            yield b.slice(at, BATCH)
+
+
+KEYS = "doc_id long, h long, sid long, fp long, size int, bands array<long>"
 
 
 def _keys(batches):
-    """doc_id, fingerprint and id of the shingle set per row."""
+    """Of each row (doc_id, h, text): its set's id, SimHash, size and band keys."""
     shingler = _Shingler()
     for b in _slices(batches):
-        texts = _texts(b, 1)
-        fp = _signed([simhash.fingerprint(t or b"") for t in texts])
-        yield pa.RecordBatch.from_arrays([b.column(0), fp, _signed([_sid(shingler.set(t)) for t in texts])], names=["doc_id", "fp", "sid"])
+        sets = [shingler.set(t) for t in b.column(2).cast(pa.binary()).to_pylist()]
+        if not sets:
+            continue
+        made = [bands(s) if len(s) else np.zeros(0, dtype=np.uint64) for s in sets]
+        ends = pa.array(np.cumsum([0] + [len(m) for m in made], dtype=np.int32))
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0), b.column(1), _signed([set_id(s) for s in sets]), _signed([simhash.majority(_blocks(s)) for s in sets]), pa.array([len(s) for s in sets], pa.int32()), pa.ListArray.from_arrays(ends, _signed(np.concatenate(made)))],
+            names=[x.split()[0] for x in KEYS.split(", ")],
+        )
 
 
-def _tokens(batches):
-    shingler = _Shingler()
-    for b in _slices(batches):
-        sets = [shingler.set(t) for t in _texts(b)]
-        if sets:
-            yield pa.RecordBatch.from_arrays([_signed(np.concatenate(sets))], names=["token"])
-
-
-def _frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the most frequent shingles of a sample, and their counts."""
-    part = max(1, texts.count() // SAMPLE)
-    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(part)) == 0) if part > 1 else texts
-    counts = some.mapInArrow(_tokens, "token long").groupBy("token").agg(F.count("*").alias("n")).where("n > 2")
-    top = counts.orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()
-    token, n = top.column(0).to_numpy().view(np.uint64), top.column(1).to_numpy()
-    order = np.argsort(token)
-    return token[order], n[order]
-
-
-def _prefixes(token, count):
-    """Rows (token, sid, pos, size): the first size / 5 + 1 shingles of each set, rare ones first."""
-
-    def rows(batches):
-        shingler, seen = _Shingler(), set()
-        for b in _slices(batches):
-            out = []
-            for t in _texts(b):
-                own = shingler.set(t)
-                sid = _sid(own)
-                if not len(own) or sid in seen:
-                    continue
-                if len(seen) >= 1 << 19:
-                    seen.clear()
-                seen.add(sid)
-                if len(token):
-                    at = np.minimum(np.searchsorted(token, own), len(token) - 1)
-                    own = own[np.argsort(np.where(token[at] == own, count[at], 0), kind="stable")]
-                n = len(own) // 5 + 1
-                out.append((own[:n], np.full(n, sid, dtype=np.uint64), np.arange(n, dtype=np.int32), np.full(n, len(own), dtype=np.int32)))
-            if out:
-                h, sid, pos, size = map(np.concatenate, zip(*out))
-                yield pa.RecordBatch.from_arrays([_signed(h), _signed(sid), pa.array(pos), pa.array(size)], names=["token", "sid", "pos", "size"])
-
-    return rows
-
-
-def _sets(batches):
+MEMBERS = "tile long, sid long, root long, shingles binary"
+#: Bytes of sets that a batch of members holds about.
+HELD = 4 << 20
+
+
+def _members(batches):
+    """Of each row (sid, root, tiles, text): one row per tile. Rows whose text has another set, as a hash met twice, are left out."""
     shingler = _Shingler()
-    for b in _slices(batches):
-        sets = [shingler.set(t) for t in _texts(b)]
-        if sets:
-            ends = np.cumsum([0] + [len(x) for x in sets], dtype=np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), _signed(np.concatenate(sets)))
-            yield pa.RecordBatch.from_arrays([_signed([_sid(x) for x in sets]), lists], names=["sid", "tokens"])
+    out, size = [], 0
 
+    def batch():
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=[x.split()[0] for x in MEMBERS.split(", ")])
 
-#: Of sets x and y that meet: what is left of both from there on suffices.
-MAY = "9L * least(x.size - x.pos, y.size - y.pos) >= 4L * (x.size + y.size)"
-#: Shingles after the prefix.
-REST = "greatest(x.size - x.size div 5, y.size - y.size div 5) - 1"
+    for b in _slices(batches):
+        for sid, root, tiles, text in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3).cast(pa.binary()).to_pylist()):
+            own = shingler.set(text)
+            if _signed([set_id(own)])[0].as_py() != sid:
+                continue
+            for tile in tiles:
+                out.append((tile, sid, root, own.tobytes()))
+                size += own.nbytes
+                if size > HELD:
+                    yield batch()
+                    out, size = [], 0
+    if out:
+        yield batch()
+
+
+def _similar(sets: list[np.ndarray]):
+    """Pairs (i, j), i < j, of similar sets, as arrays per i. Exact: shared hashes are counted."""
+    n = len(sets)
+    size = np.array([len(s) for s in sets])
+    if n == 2:
+        if 9 * len(np.intersect1d(*sets, assume_unique=True)) >= 4 * size.sum():
+            yield np.array([0]), np.array([1])
+        return
+    row = np.repeat(np.arange(n), size)
+    number = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    order = np.argsort(number, kind="stable")  # postings: rows by hash, ascending
+    held, count = row[order], np.bincount(number)
+    start = np.cumsum(count) - count
+    first = np.cumsum(size) - size
+    for i in range(n - 1):
+        mine = number[first[i] : first[i] + size[i]]
+        mine = mine[count[mine] > 1]
+        if not len(mine):
+            continue
+        width = count[mine]
+        at = np.repeat(start[mine] - np.cumsum(width) + width, width) + np.arange(width.sum())
+        shared = np.bincount(held[at], minlength=n)
+        shared[: i + 1] = 0
+        j = np.flatnonzero(9 * shared >= 4 * (size[i] + size))
+        j = j[j > i]
+        if len(j):
+            yield np.full(len(j), i), j
+
+
+def _edges(sids, roots, sets):
+    """Pairs of components (named by their roots) that the links among a tile's sets connect: a spanning forest."""
+    keep = sorted({s: i for i, s in enumerate(sids)}.values())  # a set may come from several rows
+    if len(keep) < 2:
+        return []
+    sets = [np.frombuffer(sets[i], dtype=np.uint64) for i in keep]
+    roots = np.array([roots[i] for i in keep], dtype=np.int64)
+    first, same = np.unique(roots, return_index=True, return_inverse=True)[1:]
+    if len(first) < 2:
+        return []
+    root = simhash._forest(len(sets), [(first[same], np.arange(len(sets))), *_similar(sets)])
+    return [(int(roots[i]), int(roots[root[i]])) for i in first if roots[i] != roots[root[i]]]
+
+
+def _linked(batches):
+    """Rows sorted by tile -> edges (a, b). A tile is held whole; its size is bounded."""
+    now, held = None, ([], [], [])
+    for b in batches:
+        out = []
+        for tile, *member in zip(*(b.column(i).to_pylist() for i in range(4))):
+            if tile != now:
+                out += _edges(*held)
+                now, held = tile, ([], [], [])
+            for have, x in zip(held, member):
+                have.append(x)
+        yield _pairs(out)
+    yield _pairs(_edges(*held))
+
+
+def _pairs(edges):
+    return pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+
+def _met(classes: DataFrame) -> DataFrame:
+    """(key, band, sid, n, weight): the band keys that several sets share, with how many do and how many shingles they have."""
+    rows = classes.select("sid", "size", F.posexplode("bands").alias("band", "key"))
+    shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("weight")).where("n > 1")
+    return rows.join(shared, "key").select("key", "band", "sid", "n", "weight")
+
+
+def _tiles(met: DataFrame, classes: DataFrame, roots: DataFrame, first: int, end: int) -> DataFrame:
+    """(sid, root, tiles) of the sets that must still be compared in the bands first .. end - 1."""
+    known = met.where(F.col("band").between(first, end - 1)).join(roots.withColumnRenamed("fp", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    apart = known.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    own = known.join(apart, "key")
+    if first:  # members that all met before have been compared
+        own = common.stored(own.join(classes.select("sid", F.slice("bands", 1, first).alias("early")), "sid"), "jaccard-apart")
+        strange = [F.min(F.col("early")[i]) < F.max(F.col("early")[i]) for i in range(first)]
+        for s in strange[1:]:
+            strange[0] = strange[0] & s
+        own = own.join(own.groupBy("key").agg(strange[0].alias("open")).where("open").select("key"), "key")
+    blocks = F.greatest(F.ceil(F.col("n") / NODE_SETS), F.ceil(F.col("weight") / NODE_SHINGLES), F.lit(1)).cast("int")
+    own = own.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("sid", "key"), F.col("blocks")).cast("int"))
+    tile = lambda j: F.xxhash64("key", F.least(F.col("block"), j), F.greatest(F.col("block"), j))
+    tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), tile)
+    return own.select("sid", "root", F.explode(tiles).alias("tile")).groupBy("sid").agg(F.first("root").alias("root"), F.collect_set("tile").alias("tiles"))
+
+
+def _found(texts: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Edges (a, b) between the sets of `wanted` that meet in a tile and are similar. texts: (doc_id, h, text)."""
+    spark = texts.sparkSession
+    wanted = common.stored(wanted.join(classes.select("sid", "rep"), "sid").select("sid", "root", "tiles", F.col("rep.doc_id").alias("_id"), F.col("rep.h").alias("_h")), "jaccard-wanted")
+    few = wanted.limit(BROADCAST + 1).count() <= BROADCAST
+    ids = wanted.select(F.col("_id").alias("_i"), F.col("_h").alias("_g"))
+    # Few keys pick the texts before these are dealt; else the join below deals all.
+    near = texts.join(F.broadcast(ids), (texts["h"] == ids["_g"]) & texts["doc_id"].eqNullSafe(ids["_i"]), "left_semi") if few else texts
+    rows = near.join(wanted, (near["h"] == wanted["_h"]) & near["doc_id"].eqNullSafe(wanted["_id"])).select("sid", "root", "tiles", "text")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.mapInArrow(_members, MEMBERS).repartition(n, "tile").sortWithinPartitions("tile", "sid")
+    edges = common.stored(dealt.mapInArrow(_linked, "a long, b long").distinct(), "jaccard-links")
+    common.dropped(wanted)
+    return edges
+
+
+def _classes(own: DataFrame) -> DataFrame:
+    """A row per set: its smallest row (doc_id, null last, and text hash), SimHash, size and band keys."""
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h"))
+    return own.groupBy("sid").agg(rep.alias("rep"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+
+
+def components(texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """(fp, root) of all sets (named fp) that links connect. texts: (doc_id, h, text)."""
+    reps = common.stored(classes.groupBy("fp").agg(F.min("sid").alias("rep")), "jaccard-fp")
+    same = classes.select("sid", "fp").join(reps, "fp").where("sid <> rep").select(F.col("sid").alias("a"), F.col("rep").alias("b"))
+    ends = simhash.links(reps.select("fp")).join(reps.select(F.col("fp").alias("a"), F.col("rep").alias("p")), "a").join(reps.select(F.col("fp").alias("b"), F.col("rep").alias("q")), "b")
+    edges = common.stored(same.unionAll(ends.select(F.col("p").alias("a"), F.col("q").alias("b"))), "jaccard-links")
+    met = common.stored(_met(classes), "jaccard-met")
+    roots = simhash.components(edges)
+    for first, end in ROUNDS:
+        more = _found(texts, classes, _tiles(met, classes, roots, first, end))
+        if more.head(1):
+            edges = edges.unionAll(more)
+            old, roots = roots, simhash.components(edges)
+            common.dropped(old)
+    common.dropped(met)
+    return roots
 
 
-def _candidates(meet: DataFrame, slack: int = 1) -> DataFrame:
-    """Pairs (a, b) that may be similar, of a row (x, y) for each shingle that x and y share in their prefixes.
+def _hashed(docs: DataFrame) -> DataFrame:
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("h"), docs["text"])
 
-    slack: with 1 and all such rows no similar pair is lost; more lets fewer shared shingles pass.
-    """
-    x, y = F.col("x.sid"), F.col("y.sid")
-    rows = meet.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), F.expr(MAY).alias("may"), F.expr(REST).alias("rest"), F.expr("x.size + y.size").alias("both"))
-    seen = rows.groupBy("a", "b").agg(F.max("may").alias("may"), F.max("rest").alias("rest"), F.max("both").alias("both"), F.count("*").alias("n"))
-    return seen.where(F.col("may") & (9 * (slack * F.col("n") + F.col("rest")) >= 4 * F.col("both"))).select("a", "b")
-
-
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of set ids that are similar indeed. classes: (sid, first), first a doc_id that has the set."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    held = common.stored(classes.join(ids, "sid", "left_semi").groupBy("sid").agg(F.min("first").alias("doc_id")), "jaccard-held")
-    few = held.limit(BROADCAST + 1).count() <= BROADCAST
-    own = held.select("doc_id").distinct()
-    wanted = docs.join(F.broadcast(own) if few else own, "doc_id", "left_semi").select("text")
-    if held.where("doc_id is null").head(1):
-        wanted = wanted.unionAll(docs.where("doc_id is null").select("text"))
-    sets = common.stored(wanted.mapInArrow(_sets, "sid long, tokens array<long>").dropDuplicates(["sid"]), "jaccard-sets")
-    both = pairs.join(sets.select(F.col("sid").alias("a"), F.col("tokens").alias("p")), "a").join(sets.select(F.col("sid").alias("b"), F.col("tokens").alias("q")), "b")
-    return both.where(9 * F.size(F.array_intersect("p", "q")) >= 4 * (F.size("p") + F.size("q"))).select("a", "b")
-
-
-def _labelled(met: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows of met with the root of their set, where sets of several components meet."""
-    by = Window.partitionBy("token")
-    rows = met.join(roots.withColumnRenamed("fp", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    return rows.withColumn("low", F.min("root").over(by)).withColumn("high", F.max("root").over(by)).where("low < high").drop("low", "high")
-
-
-def components(docs: DataFrame, classes: DataFrame, known: DataFrame) -> DataFrame:
-    """(fp, root) of all sets (fp) that links of 0.8 or the known edges (a, b) connect. docs: (doc_id, text)."""
-    texts = docs.select("text")
-    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = texts.mapInArrow(_prefixes(*_frequent(texts)), "token long, sid long, pos int, size int").repartition(n, "token")
-    first = F.min(F.struct("sid", "pos", "size")).over(Window.partitionBy("token"))
-    last = F.max("sid").over(Window.partitionBy("token"))
-    shared = rows.withColumn("first", first).withColumn("last", last).where("first.sid < last").drop("last")
-    met = common.stored(shared.dropDuplicates(["token", "sid"]), "jaccard-met")
-    star = met.select(F.col("first").alias("x"), F.struct("sid", "pos", "size").alias("y")).where("x.sid <> y.sid")
-    near = common.stored(_candidates(star, 2), "jaccard-near")
-    edges = common.stored(known.unionAll(_verified(docs, classes, near)).distinct(), "jaccard-links")
-    roots = simhash.components(edges)
-    apart = common.stored(_labelled(met.drop("first"), roots), "jaccard-apart")
-    own = apart.select("token", "root", F.struct("sid", "pos", "size").alias("x"))
-    across = own.join(own.select("token", F.col("root").alias("other"), F.col("x").alias("y")), "token").where("root < other")
-    far = common.stored(_candidates(across).join(near, ["a", "b"], "left_anti"), "jaccard-far")
-    if not far.head(1):
-        return roots
-    more = common.stored(_verified(docs, classes, far), "jaccard-links")
-    return simhash.components(edges.unionAll(more)) if more.head(1) else roots
+
+def classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, h, sid) of docs, and classes (sid, root, rep): of each set its component and its smallest row (none, doc_id, h)."""
+    texts = _hashed(docs)
+    keyed = common.stored(texts.mapInArrow(_keys, KEYS), "jaccard-keys")
+    classes = common.stored(_classes(keyed), "jaccard-classes")
+    own = keyed.select("doc_id", "h", "sid")
+    roots = components(texts, classes)
+    named = classes.select("sid", "rep").join(roots.withColumnRenamed("fp", "sid"), "sid", "left").select("sid", F.coalesce("root", "sid").alias("root"), "rep")
+    return own, common.stored(named, "jaccard-named")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, sid, component_id) per row of docs; sid names the row's set of shingles."""
-    ids = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
-    own = common.stored(ids.mapInArrow(_keys, "doc_id long, fp long, sid long"), "jaccard-keys")
-    classes = common.stored(own.groupBy("fp", "sid").agg(F.min("doc_id").alias("first")), "jaccard-classes")
-    reps = common.stored(classes.groupBy("fp").agg(F.min("sid").alias("rep")), "jaccard-fp")
-    same = classes.join(reps, "fp").where("sid <> rep").select(F.col("sid").alias("a"), F.col("rep").alias("b"))
-    ends = simhash.links(reps.select("fp")).join(reps.select(F.col("fp").alias("a"), F.col("rep").alias("p")), "a").join(reps.select(F.col("fp").alias("b"), F.col("rep").alias("q")), "b")
-    close = ends.where("p <> q").select(F.col("p").alias("a"), F.col("q").alias("b"))
-    roots = components(ids, classes, same.unionAll(close))
-    named = classes.join(roots.withColumnRenamed("fp", "sid"), "sid", "left").select("sid", "first", F.coalesce("root", "sid").alias("root"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return own.join(named.select("sid", "root").distinct().join(least, "root"), "sid").select("doc_id", "sid", "component_id")
+    own, classes = classified(docs)
+    least = classes.groupBy("root").agg(F.min("rep").alias("least"))
+    ids = classes.select("sid", "root").join(least, "root").select("sid", F.col("least.doc_id").alias("component_id"))
+    return own.join(ids, "sid").select("doc_id", "sid", "component_id")
+
+
+def survivors(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, that stay when of each component one row stays.
+
+    It is the row with the smallest doc_id (null last); of rows that share this doc_id the
+    one with the smallest text hash; of rows that share that, too, the one with the smallest hash
+    of all columns. Each row is decided by its own text.
+    """
+    own, classes = classified(docs)
+    stay = classes.groupBy("root").agg(F.min("rep").alias("least")).select(F.col("least.doc_id").alias("_id"), F.col("least.h").alias("_h"))
+    counted = own.groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.count("*").alias("_n"))
+    by = lambda a, b: (a["_h"] == b["_h"]) & a["_id"].eqNullSafe(b["_id"])
+    kept = counted.alias("c").join(stay.alias("s"), (F.col("c._h") == F.col("s._h")) & F.col("c._id").eqNullSafe(F.col("s._id")), "left")
+    fate = common.stored(kept.select("c._id", "c._h", "c._n", F.col("s._h").isNotNull().alias("_stays")), "jaccard-fate")
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["doc_id"].cast("long").alias("_id"), F.xxhash64(docs["text"]).alias("_h"))
+    goes, several = fate.where("not _stays"), fate.where("_stays and _n > 1")
+    out = rows.join(goes, by(rows, goes), "left_anti")
+    if several.head(1):
+        again = rows.join(several, by(rows, several), "left_semi").groupBy("_id", "_h").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+        out = out.join(several, by(out, several), "left_anti").select("row").unionAll(again.select("row"))
+    return out.select("row.*")

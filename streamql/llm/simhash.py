@@ -14,7 +14,8 @@ A node with more than NODE_LIMIT members is dealt out again by bands of the bits
 are still open, until 11 bits are left at most: no node, however hot its pattern, is
 ever larger than that, and no link is lost. A node reports a spanning forest of its
 links, not all pairs. Components are found by distributed label propagation with
-pointer jumping; every round is written to the shared folder.
+pointer jumping; every round is written to the shared folder, and joins by component are
+salted, as a component may hold any part of all rows.
 
 Defined results. Null, empty or wordless text: fingerprint zero, linked like any
 other. Fewer words than a shingle: the whole sequence is the one shingle. Rows that
@@ -33,24 +34,36 @@ from . import common
 NODE_LIMIT = 2048
 LEAF = 16
 LAST_BITS = 11
+#: Tasks that the rows of one component are dealt to where components are joined.
+SALTS = 16
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 BLOCK = 1 << 15
 
 
+def majority(blocks) -> int:
+    """The SimHash of blocks of 64-bit hashes: a bit is 1 if set in over half of all; 0 without any."""
+    ones, n = np.zeros(64, dtype=np.int64), 0
+    for h in blocks:
+        ones += np.unpackbits(h.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(h)
+    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
-    """The SimHash of a UTF-8 text: a bit is 1 if set in over half the shingle hashes."""
+    """The SimHash of a UTF-8 text, over the XXH64 of its shingles."""
     words = text.translate(LOWER).split()
     if not words:
         return 0
     n = max(1, len(words) - shingle + 1)
-    ones = np.zeros(64, dtype=np.int64)
     digest = xxhash.xxh64_intdigest
-    for a in range(0, n, BLOCK):
-        part = words[a : a + BLOCK + shingle - 1]
-        grams = map(b" ".join, zip(*(part[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
-        h = np.fromiter((digest(g, seed) for g in grams), dtype="<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
+
+    def blocks():
+        for a in range(0, n, BLOCK):
+            part = words[a : a + BLOCK + shingle - 1]
+            grams = map(b" ".join, zip(*(part[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
+            yield np.fromiter((digest(g, seed) for g in grams), dtype="<u8")
+
+    return majority(blocks())
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -203,24 +216,53 @@ def links(fps: DataFrame, radius: int = 2, limit: int = NODE_LIMIT) -> DataFrame
     return placed.mapInArrow(_node_edges(radius), "a long, b long").distinct()
 
 
+def _spread_join(many: DataFrame, key: str, by: str, one: DataFrame, own: str, how: str = "inner") -> DataFrame:
+    """many joined to one on many.key = one.own, own being unique in one.
+
+    A key may hold any part of many's rows: they are dealt to SALTS tasks by column `by`,
+    and each row of one goes to all of these.
+    """
+    dealt = many.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    copies = one.withColumn("_copy", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    return dealt.join(copies, (dealt[key] == copies[own]) & (dealt["_salt"] == copies["_copy"]), how).drop("_salt", "_copy")
+
+
+def _compressed(hooks: DataFrame) -> DataFrame:
+    """(root, to) of a forest, to < root, with every to at the end of its path: pointer jumping. hooks is stored, and deleted."""
+    while True:
+        onward = hooks.select(F.col("root").alias("at"), F.col("to").alias("then"))
+        further = common.stored(_spread_join(hooks, "to", "root", onward, "at", "left").select("root", F.coalesce("then", "to").alias("to"), F.col("then").isNotNull().alias("moved")), "simhash-hooks")
+        common.dropped(hooks)
+        hooks = further
+        if not hooks.where("moved").head(1):
+            return hooks
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(fp, root) for every end of an edge: root names its component. Each round halves the paths at least."""
+    """(fp, root) for every end of an edge: root is the smallest end that edges lead to.
+
+    Every end hooks onto its smallest neighbour, and the forest of hooks is followed to its
+    roots. Then each round takes the smallest root around each end; roots that hear of a
+    smaller one hook onto it, and the forest of these hooks, which holds roots only, is
+    followed likewise. So a round at least halves the roots that still have neighbours.
+    """
     both = common.stored(edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "simhash-edges")
-    label = common.stored(both.groupBy(F.col("a").alias("fp")).agg(F.min("b").alias("m")).select("fp", F.least("fp", "m").alias("root")), "simhash-label")
+    least = common.stored(both.groupBy(F.col("a").alias("root")).agg(F.min("b").alias("to")), "simhash-hooks")
+    hooks = _compressed(common.stored(least.where("to < root"), "simhash-hooks"))
+    ends = least.select(F.col("root").alias("fp"))
+    label = common.stored(ends.join(hooks, ends["fp"] == hooks["root"], "left").select("fp", F.coalesce("to", "fp").alias("root")), "simhash-label")
+    common.dropped(least, hooks)
     while True:
-        # Smallest label around, then labels of labels.
-        heard = both.join(label, both["b"] == label["fp"]).groupBy("a").agg(F.min("root").alias("m"))
-        near = label.join(heard, label["fp"] == heard["a"]).select("fp", F.col("root").alias("old"), F.least("root", "m").alias("root"))
-        # A root that hears of a smaller one passes it on to all that carry it.
-        told = near.groupBy("old").agg(F.min("root").alias("told")).where("told < old")
-        new = near.join(told, "old", "left").select("fp", "old", F.least("root", F.coalesce("told", "root")).alias("root"))
-        new = common.stored(new, "simhash-label")
-        jump = new.select(F.col("fp").alias("root"), F.col("root").alias("next"))
-        jumped = common.stored(new.join(jump, "root", "left").select("fp", "old", F.least("root", F.coalesce("next", "root")).alias("root")), "simhash-label")
-        moved = jumped.where("root <> old").head(1)
-        label = jumped.select("fp", "root")
-        if not moved:
+        around = label.select(F.col("fp").alias("end"), F.col("root").alias("m"))
+        heard = _spread_join(both, "b", "a", around, "end").groupBy(F.col("a").alias("fp")).agg(F.min("m").alias("m"))
+        hooks = common.stored(label.join(heard, "fp").groupBy("root").agg(F.min("m").alias("to")).where("to < root"), "simhash-hooks")
+        if not hooks.head(1):
+            common.dropped(both, hooks)
             return label
+        hooks = _compressed(hooks)
+        to = hooks.select(F.col("root").alias("was"), "to")
+        old, label = label, common.stored(_spread_join(label, "root", "fp", to, "was", "left").select("fp", F.coalesce("to", "root").alias("root")), "simhash-label")
+        common.dropped(old, hooks)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:

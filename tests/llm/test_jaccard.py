@@ -1,9 +1,11 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from streamql.llm import jaccard, simhash
 
-from .test_simhash import brute_components, brute_fp
+from .test_simhash import brute_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -17,9 +19,15 @@ def similar(a, b):
     return bool(a and b) and 5 * len(a & b) >= 4 * len(a | b)
 
 
+def set_fp(text):
+    """Bit by bit: set in over half of the distinct shingles' hashes."""
+    own = jaccard._Shingler().set((text or "").encode()).tolist()
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in own) > len(own))
+
+
 def brute(rows):
     """doc_id -> smallest doc_id of the component, by all pairs."""
-    sets, fp = {d: shingles(t) for d, t in rows}, {d: brute_fp(t) for d, t in rows}
+    sets, fp = {d: shingles(t) for d, t in rows}, {d: set_fp(t) for d, t in rows}
     comp, root = brute_components(set(fp.values())), {d: d for d, _ in rows}
 
     def find(x):
@@ -65,20 +73,41 @@ def planted(rng):
 
 
 def test_components_are_those_of_all_pairs(spark, monkeypatch):
-    for seed, sample in [(1, 20_000), (2, 50)]:
-        monkeypatch.setattr(jaccard, "SAMPLE", sample)
+    for seed, most in [(1, 1024), (2, 12)]:  # 12: hot nodes are cut into blocks
+        monkeypatch.setattr(jaccard, "NODE_SETS", most)
         rows = planted(random.Random(seed))
-        got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
         assert {r.doc_id: r.component_id for r in got} == brute(rows)
         assert len(got) == len(rows)
 
 
+def test_bands_find_what_is_similar():
+    rng = np.random.default_rng(0)
+    lost = 0
+    for _ in range(400):
+        common, own = rng.integers(0, 2**63, 89, dtype=np.uint64), rng.integers(0, 2**63, (2, 11), dtype=np.uint64)
+        a, b = (jaccard.bands(np.unique(np.concatenate((common, x)))) for x in own)  # 89 of 111
+        lost += not (a == b).any()
+    assert lost == 0
+    assert not (jaccard.bands(own[0]) == jaccard.bands(own[1])).any() and len(set(jaccard.bands(own[0][:1]).tolist())) == jaccard.BANDS
+
+
+def test_pairs_of_a_node_are_exact():
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 2**63, 60, dtype=np.uint64)
+    sets = [np.unique(np.concatenate((base[rng.random(60) < 0.93], rng.integers(0, 2**63, rng.integers(0, 6), dtype=np.uint64)))) for _ in range(50)]
+    for some in (sets, sets[:2], sets[:3]):
+        got = {(int(i), int(j)) for a, b in jaccard._similar(some) for i, j in zip(a, b)}
+        want = {(i, j) for i in range(len(some)) for j in range(i + 1, len(some)) if 5 * len(np.intersect1d(some[i], some[j])) >= 4 * len(np.union1d(some[i], some[j]))}
+        assert got == want
+
+
 def test_stage_removes_planted_near_copies(spark):
     rng = random.Random(5)
     base = [[f"w{rng.getrandbits(30)}" for _ in range(150)] for _ in range(30)]
     copies = [edited(rng, b, 2) for b in base]
     assert all(similar(shingles(" ".join(a)), shingles(" ".join(b))) for a, b in zip(base, copies))
-    assert sum((brute_fp(" ".join(a)) ^ brute_fp(" ".join(b))).bit_count() > 2 for a, b in zip(base, copies)) > 15
+    assert sum((set_fp(" ".join(a)) ^ set_fp(" ".join(b))).bit_count() > 2 for a, b in zip(base, copies)) > 15
     rows = [(i, " ".join(t), "en", "s", 1) for i, t in enumerate(base + copies)]
     left = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, SCHEMA), "")
     assert sorted(r.doc_id for r in left.collect()) == list(range(30))
@@ -91,3 +120,26 @@ def test_what_one_set_of_a_group_does_not_reach(spark):
     rows = [(1, " ".join(w[:150])), (2, " ".join(w[35:190])), (3, " ".join(w[38:192]))]
     got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.component_id for r in got} == brute(rows) == {1: 1, 2: 2, 3: 2}
+
+
+def test_every_row_is_decided_by_its_own_text(spark):
+    rng = random.Random(9)
+    text = lambda: " ".join(f"w{rng.getrandbits(30)}" for _ in range(80))
+    a, b, c = text(), text(), text()
+    near = " ".join(edited(rng, a.split(), 1))
+    rows = [
+        (1, a, "x", 1), (1, a, "x", 1), (1, a, "x", 2), (1, b, "x", 1), (2, near, "x", 1), (2, c, "x", 1), (3, c, "x", 1),
+        (None, b, "x", 1), (None, text(), "x", 1), (None, None, "x", 1), (7, "", "x", 1), (8, " ", "x", 1), (None, text(), "x", 3),
+    ]
+    rows += [rows[-1]] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string, h string, sid int").repartition(5)
+    for _ in range(2):
+        left = jaccard.survivors(df)
+        assert left.columns == df.columns
+        got = sorted(map(str, left.collect()))
+        firsts = [r for r in got if str(a) in r]
+        assert len(firsts) == 1
+        want = [(1, b), (2, c), (None, rows[8][1]), (7, ""), (None, rows[12][1])]
+        assert sorted(str((r.doc_id, r.text)) for r in left.collect() if r.text != a) == sorted(map(str, want))
+    assert jaccard.survivors(df.limit(0)).collect() == [] and jaccard.near_duplicates(df.limit(0)).collect() == []
+    assert [r.doc_id for r in jaccard.survivors(df.where("text is null")).collect()] == [None]

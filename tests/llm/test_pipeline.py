@@ -4,7 +4,7 @@ from collections import Counter
 import corpus_pipeline
 from streamql.llm import mixing
 
-from .test_simhash import brute_components, brute_fp
+from .test_jaccard import brute as brute_near
 from .test_substring import brute as brute_substring
 
 
@@ -37,12 +37,8 @@ def test_stages(spark, tmp_path):
     docs = corpus_pipeline.quality_rules(spark, docs, sf)
     assert docs.columns == columns and sorted(docs.collect()) == sorted(clean)
 
-    fps = {r[0]: brute_fp(r[1]) for r in clean}
-    comp = brute_components(set(fps.values()))
-    least = {}
-    for d, f in fps.items():
-        least[comp[f]] = min(d, least.get(comp[f], d))
-    alone = [r for r in clean if least[comp[fps[r[0]]]] == r[0]]
+    least = brute_near([r[:2] for r in clean])
+    alone = [r for r in clean if least[r[0]] == r[0]]
     docs = corpus_pipeline.near_dedup(spark, spark.createDataFrame(clean, docs.schema), sf)
     assert docs.columns == columns and sorted(docs.collect()) == sorted(alone)
 
@@ -65,5 +61,21 @@ def test_repeated_ids_and_empty(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     t = "some words of a text that is long enough"
     docs = spark.createDataFrame([(1, t, "en", "a", 1), (1, t, "en", "a", 1), (2, t, "en", "a", 1), (None, t, "en", "a", 1)], schema)
-    assert sorted(str(r.doc_id) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == ["1", "None"]
-    assert corpus_pipeline.near_dedup(spark, docs.limit(0), "").collect() == []
+    assert [r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()] == [1]
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).collect() == []
+
+
+def test_stages_carry_columns_of_any_name(spark, tmp_path):
+    rng = random.Random(3)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    text = lambda: " ".join(f"w{rng.getrandbits(30)}" for _ in range(70))
+    shared = text()
+    names = "h long, sid long, root long, tiles string, row string, copies long, size long, key string, rate double, piece int, salt long, lost string, kept boolean, x int, words string, m map<string,int>"
+    rows = [(i, text() + " " + shared, "en", "s", 5, *([None] * 16)) for i in range(20)] + [(None, None, None, None, None, *([None] * 16)), (3, text(), "en", None, 5, *([None] * 16))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + names)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.count() > 0
+    assert corpus_pipeline.best_fit_packing(spark, docs, str(tmp_path)).count() == len(rows)
