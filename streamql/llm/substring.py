@@ -8,20 +8,30 @@ PERIOD + ANCHOR - 1 = WINDOW, two equal windows hold at least one aligned equal
 
 1. Anchors of each document meet by hash; those that two documents share survive.
 2. Around shared anchors matches are extended: only windows that hold a shared anchor
-   at their cover position are hashed whole (96 bits) and meet by hash; a window loses
-   if its group has a smaller doc_id.
-3. Lost windows come back to their documents and their words are removed.
+   at their cover position are hashed whole and meet by hash; a window loses if its group
+   has a smaller doc_id.
+3. Lost windows come back to their rows and their words are removed.
+
+Words are compared by hash only: a window by 96 bits of two rolling hashes where tasks meet
+and by 64 bits mixed from them within a chunk. Unequal windows agree by chance with a
+probability of 2^-64 a pair at most.
 
 Hot passages. Before both shuffles a task settles what it can: of an anchor or window
 that several of its documents hold, only the smallest document's travels on; the others
 are known to be shared, or lost. So a passage in a third of all rows reaches a group
-once per chunk of CHUNK bytes of text, not once per document. Texts are shuffled once
-(by doc_id), and both later steps reuse that exchange.
+once per chunk of CHUNK bytes of text, not once per document. Equal windows at place after
+place, as of a word said over and over, travel as one row. Texts are shuffled once, and
+both later steps reuse that exchange.
+
+Rows. Everything found is kept by row: under (doc_id, version). The version is 0, or a
+64-bit hash of the text as soon as any doc_id has several texts, and for rows without
+doc_id; so neither a repeated nor a null id gathers its rows in one task.
 
 Defined results. Null text: no words, result text "". Fewer than WINDOW words: kept
-whole. Rows that repeat a doc_id count as one document's copies: neither is smaller, so
-neither loses to the other. A null doc_id is smaller than none and larger than none: its
-row is kept whole and takes no part. Empty table: empty result.
+whole. Rows that share a doc_id, with equal or different texts: neither is smaller, so
+neither loses to the other, and each loses only what its own text holds. A null doc_id is
+smaller than none and larger than none: its row is kept whole and takes no part. Empty
+table: empty result.
 """
 
 import hashlib
@@ -115,15 +125,19 @@ def _first_of_groups(key, doc):
     return least, shared
 
 
-ANCHOR_ROW = "h long, doc_id long, pos int, known boolean"
+ANCHOR_ROW = "h long, doc_id long, version long, pos int, known boolean"
+
+
+def _ints(lists, kind=np.int64):
+    return np.concatenate([np.asarray(x, dtype=kind) for x in lists])
 
 
 def _anchors(batches):
     """Anchors of the chunk: one row per hash for its smallest document, plus the places already known to be shared."""
     hasher = _Hasher()
-    for chunk in _texts(batches):
-        keys, docs, places = [], [], []
-        for doc, text in chunk:
+    for chunk in _texts(batches, VERSION):
+        keys, docs, versions, places = [], [], [], []
+        for doc, text, version in chunk:
             if doc is None or text is None:
                 continue
             codes = hasher.codes(text)
@@ -132,44 +146,51 @@ def _anchors(batches):
             at = np.flatnonzero(np.isin(np.arange(len(codes) - ANCHOR + 1) % PERIOD, COVER))
             keys.append(hasher.windows(codes, ANCHOR, MULTIPLIERS[0])[at])
             docs.append(np.full(len(at), doc, dtype=np.int64))
+            versions.append(np.full(len(at), version, dtype=np.int64))
             places.append(at)
         if not keys:
             continue
-        key, doc, place = np.concatenate(keys), np.concatenate(docs), np.concatenate(places).astype(np.int32)
+        key, doc, version, place = np.concatenate(keys), _ints(docs), _ints(versions), _ints(places, np.int32)
         least, shared = _first_of_groups(key, doc)
         # What is known goes under a hash of its place, so that it spreads; the smallest document's also meets the others.
-        h = np.concatenate((key[least], _spread(doc, place)[shared]))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(h.view(np.int64)), pa.array(np.concatenate((doc[least], doc[shared]))), pa.array(np.concatenate((place[least], place[shared]))), pa.array(np.r_[np.zeros(least.sum(), bool), np.ones(shared.sum(), bool)])],
-            names=["h", "doc_id", "pos", "known"],
-        )
+        h = np.concatenate((key[least], _spread(doc, version, place)[shared]))
+        both = lambda x: pa.array(np.concatenate((x[least], x[shared])))
+        known = np.r_[np.zeros(least.sum(), bool), np.ones(shared.sum(), bool)]
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), both(doc), both(version), both(place), pa.array(known)], names=["h", "doc_id", "version", "pos", "known"])
 
 
-def _runs(doc, place):
-    """Rows sorted by (doc, place) as runs of consecutive places: doc, first place, length."""
-    cut = np.flatnonzero(np.r_[True, (np.diff(doc) != 0) | (np.diff(place) != 1)]) if len(doc) else np.zeros(0, dtype=np.int64)
-    return doc[cut], place[cut], np.diff(np.r_[cut, len(doc)])
+def _runs(*columns):
+    """Where runs start, and their lengths, in rows whose last column goes up by one within a run, while the others stay."""
+    *same, place = columns
+    if not len(place):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    new = np.diff(place) != 1
+    for x in same:
+        new |= x[1:] != x[:-1]
+    start = np.flatnonzero(np.r_[True, new])
+    return start, np.diff(np.r_[start, len(place)])
 
 
-def _spread(doc, place):
+def _spread(doc, version, place):
     """A hash of a place, to deal rows that meet no others."""
-    return (place.astype(np.uint64) * np.uint64(MULTIPLIERS[1]) ^ doc.astype(np.uint64) * np.uint64(MULTIPLIERS[0])) * np.uint64(0xD6E8FEB86659FD93)
+    h = place.astype(np.uint64) * np.uint64(MULTIPLIERS[1]) ^ doc.astype(np.uint64) * np.uint64(MULTIPLIERS[0]) ^ version.view(np.uint64)
+    return h * np.uint64(0xD6E8FEB86659FD93)
 
 
-#: h: window hash; rest: its other 32 bits above the place; n: 0 for a window, else the length of a run of lost ones at the place.
-WINDOW_ROW = "h long, doc_id long, rest long, n int"
+#: h: window hash; rest: its other 32 bits above the place; n: that many equal windows from the place on, or, if negative, that many lost ones.
+WINDOW_ROW = "h long, doc_id long, version long, rest long, n int"
 
 
 def _shared_windows(batches):
     """Windows around shared anchors: of each window the chunk's smallest document's, plus runs already lost."""
     hasher = _Hasher()
-    for chunk in _texts(batches, ANCHORS):
-        first, second, docs, places = [], [], [], []
-        for doc, text, anchors in chunk:
-            if not anchors:
-                continue
-            codes = hasher.codes(text)
+    for chunk in _texts(batches, VERSION, ANCHORS):
+        first, second, docs, versions, places = [], [], [], [], []
+        for doc, text, version, anchors in chunk:
+            codes = hasher.codes(text) if anchors and text is not None else ()
             n = len(codes) - WINDOW + 1
+            if n <= 0:
+                continue
             edge = np.zeros(n + PERIOD + 1, dtype=np.int32)
             a = np.unique(np.array(anchors, dtype=np.int64))
             np.add.at(edge, np.clip(a - PERIOD + 1, 0, n), 1)
@@ -178,18 +199,21 @@ def _shared_windows(batches):
             first.append(hasher.windows(codes, WINDOW, MULTIPLIERS[0])[at])
             second.append(hasher.windows(codes, WINDOW, MULTIPLIERS[1])[at] >> np.uint64(32))
             docs.append(np.full(len(at), doc, dtype=np.int64))
+            versions.append(np.full(len(at), version, dtype=np.int64))
             places.append(at)
         if not first:
             continue
-        h, g, doc, place = np.concatenate(first), np.concatenate(second), np.concatenate(docs), np.concatenate(places)
+        h, g, doc, version, place = np.concatenate(first), np.concatenate(second), _ints(docs), _ints(versions), _ints(places)
         least, _ = _first_of_groups(h ^ (g * np.uint64(MULTIPLIERS[1])), doc)
-        order = np.lexsort((place[~least], doc[~least]))
-        lost_doc, lost_at, lost_n = _runs(doc[~least][order], place[~least][order])
-        rest = np.r_[(g[least] << np.uint64(32) | place[least].astype(np.uint64)).view(np.int64), lost_at]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.r_[h[least], _spread(lost_doc, lost_at)].view(np.int64)), pa.array(np.r_[doc[least], lost_doc]), pa.array(rest), pa.array(np.r_[np.zeros(least.sum(), np.int32), lost_n.astype(np.int32)])],
-            names=["h", "doc_id", "rest", "n"],
-        )
+        # Rows stand by document and place already.
+        at, n = _runs(h[least], g[least], doc[least], version[least], place[least])
+        at = np.flatnonzero(least)[at]
+        gone, lost = _runs(doc[~least], version[~least], place[~least])
+        gone = np.flatnonzero(~least)[gone]
+        both = lambda x: pa.array(np.concatenate((x[at], x[gone])))
+        key = np.concatenate((h[at], _spread(doc[gone], version[gone], place[gone]))).view(np.int64)
+        rest = np.concatenate(((g[at] << np.uint64(32) | place[at].astype(np.uint64)).view(np.int64), place[gone]))
+        yield pa.RecordBatch.from_arrays([pa.array(key), both(doc), both(version), pa.array(rest), pa.array(np.concatenate((n, -lost)).astype(np.int32))], names=["h", "doc_id", "version", "rest", "n"])
 
 
 def _removal(text: bytes | None, lost):
@@ -206,33 +230,42 @@ def _removal(text: bytes | None, lost):
     return words, keep
 
 
-ANCHORS, LOST, ID = "__substring_anchors", "__substring_lost", "__substring_id"
+VERSION, ANCHORS, LOST = "__substring_version", "__substring_anchors", "__substring_lost"
+DOC_OF, VERSION_OF = "__substring_doc_of", "__substring_version_of"
+
+
+def _joined(dealt: DataFrame, found: DataFrame) -> DataFrame:
+    """dealt with what was found for each row (by DOC_OF and VERSION_OF), null where nothing was."""
+    return dealt.join(found, (dealt["doc_id"] == found[DOC_OF]) & (dealt[VERSION] == found[VERSION_OF]), "left").drop(DOC_OF, VERSION_OF)
 
 
 def with_lost_windows(dealt: DataFrame) -> DataFrame:
     """dealt and the runs of windows to remove per row (null: none).
 
-    dealt: (doc_id long, text, ...), repartitioned by doc_id. Its three uses ask for the same
-    rows and columns, so that its exchange is made once and reused; hence the left joins,
-    and no filter here.
+    dealt: what _dealt() gave. Its three uses ask for the same rows and columns, so that its
+    exchange is made once and reused; hence the left joins, and no filter here.
     """
     rows = dealt.mapInArrow(_anchors, ANCHOR_ROW)
     by = Window.partitionBy("h")
     met = rows.withColumn("low", F.min("doc_id").over(by)).withColumn("high", F.max("doc_id").over(by))
-    shared = met.where("known or low < high").groupBy(F.col("doc_id").alias(ID)).agg(F.collect_list("pos").alias(ANCHORS))
-    near = dealt.join(shared, dealt["doc_id"] == shared[ID], "left").drop(ID)
+    row = [F.col("doc_id").alias(DOC_OF), F.col("version").alias(VERSION_OF)]
+    shared = met.where("known or low < high").groupBy(*row).agg(F.collect_list("pos").alias(ANCHORS))
     n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    whole = near.mapInArrow(_shared_windows, WINDOW_ROW).repartition(n, "h").withColumn("g", F.shiftright("rest", 32))
-    low = whole.withColumn("low", F.min("doc_id").over(Window.partitionBy("h", "g"))).where("n > 0 or low < doc_id")
-    run = F.shiftleft(F.col("rest").bitwiseAND(F.lit(0xFFFFFFFF)), 32).bitwiseOR(F.greatest("n", F.lit(1)).cast("long"))
-    lost = low.groupBy(F.col("doc_id").alias(ID)).agg(F.collect_list(run).alias(LOST))
-    return dealt.join(lost, dealt["doc_id"] == lost[ID], "left").drop(ID)
+    whole = _joined(dealt, shared).mapInArrow(_shared_windows, WINDOW_ROW).repartition(n, "h").withColumn("g", F.shiftright("rest", 32))
+    low = whole.withColumn("low", F.min("doc_id").over(Window.partitionBy("h", "g"))).where("n < 0 or low < doc_id")
+    run = F.shiftleft(F.col("rest").bitwiseAND(F.lit(0xFFFFFFFF)), 32).bitwiseOR(F.abs("n").cast("long"))
+    lost = low.groupBy(*row).agg(F.collect_list(run).alias(LOST))
+    return _joined(dealt, lost)
 
 
 def _dealt(docs: DataFrame) -> DataFrame:
-    """docs by doc_id, in as many partitions as the session shuffles to."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return docs.repartition(n, "doc_id")
+    """docs with their version, dealt by row to as many partitions as the session shuffles to."""
+    spark = docs.sparkSession
+    h = F.xxhash64(docs["text"])
+    texts = docs.select(docs["doc_id"].alias("doc_id"), h.alias("h")).where("doc_id is not null").groupBy("doc_id").agg(F.min("h").alias("low"), F.max("h").alias("high"))
+    several = bool(texts.where("low < high").head(1))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return docs.withColumn(VERSION, h if several else F.when(docs["doc_id"].isNull(), h).otherwise(F.lit(0).cast("long"))).repartition(n, "doc_id", VERSION)
 
 
 def dedup_digest(docs: DataFrame) -> DataFrame:
@@ -289,11 +322,11 @@ def op7_substring(spark, sf_dir: str) -> DataFrame:
 
 
 OP7_SQL = r"""
-WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM documents),
-win AS (SELECT doc_id, i, md5(array_to_string(words[i:i + 49], ' ')) AS h FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM w WHERE len(words) >= 50)),
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM documents),
+win AS (SELECT r, doc_id, i, md5(array_to_string(words[i:i + 49], ' ')) AS h FROM (SELECT r, doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM w WHERE len(words) >= 50)),
 low AS (SELECT h, min(doc_id) AS low FROM win GROUP BY h),
-gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS j FROM win JOIN low USING (h) WHERE low < doc_id),
-bad AS (SELECT doc_id, list(j) AS js FROM gone GROUP BY doc_id),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 50)) AS j FROM win JOIN low USING (h) WHERE low < doc_id),
+bad AS (SELECT r, list(j) AS js FROM gone GROUP BY r),
 kept AS (SELECT w.doc_id, len(words) AS n_words, CASE WHEN js IS NULL THEN words ELSE list_transform(list_filter(range(1, len(words) + 1), lambda k: NOT list_contains(js, k)), lambda k: words[k]) END AS kept
-    FROM w LEFT JOIN bad USING (doc_id))
+    FROM w LEFT JOIN bad USING (r))
 SELECT doc_id, n_words::BIGINT AS n_words, (n_words - len(kept))::BIGINT AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM kept"""

@@ -41,6 +41,9 @@ def corpus(seed=1):
         if i % 3 == 0:
             t += hot
         rows.append([i, " ".join(t)])
+    # One id under several texts, short and long, and rows that share a passage with a smaller id.
+    rows += [[310, "short text"], [310, " ".join(run(300))], [310, " ".join(run(200) + passages[4])], [310, ""], [310, None], [311, " ".join(passages[4])], [-5, " ".join(run(30) + passages[3])]]
+    rows += [[None, " ".join(passages[4] + run(i))] for i in range(5)]
     rows += [[200 + i, rows[i * 7][1].replace(" ", "\n")] for i in range(10)] + [[300, "x " * 400], [301, "x " * 130], [302, None], [303, ""], [None, rows[3][1]], [3, rows[3][1]], [304, " ".join(passages[4]) + " tail"]]
     return rows
 
@@ -76,3 +79,22 @@ def test_dedup_rewrites_texts(spark):
         elif kept:
             want.append((d, " ".join(kept), len(" ".join(kept))))
     assert sorted(str((r.doc_id, r.text, r.n_chars)) for r in out.collect()) == sorted(map(str, want))
+
+
+def test_one_id_under_several_texts(spark):
+    rng = random.Random(4)
+    run = lambda n: [f"w{rng.getrandbits(30)}" for _ in range(n)]
+    passage = run(60)
+    rows = [[1, " ".join(passage)], [2, " ".join(run(200) + passage)], [2, " ".join(run(300))], [2, "short text"], [2, None]]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(str(tuple(r)) for r in substring.dedup_digest(df).collect())
+    assert got == sorted(str(x[:4]) for x in brute(rows)) and sorted(r.n_removed for r in substring.dedup_digest(df).collect()) == [0, 0, 0, 0, 60]
+
+
+def test_equal_windows_travel_as_one_row():
+    import pyarrow as pa
+
+    text = ("x " * 5000).encode()
+    chunk = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([text, text]), pa.array([0, 0]), pa.array([list(range(4981))] * 2)], names=["doc_id", "text", substring.VERSION, substring.ANCHORS])
+    out = [r for b in substring._shared_windows([chunk]) for r in b.to_pylist()]
+    assert sorted((r["doc_id"], r["n"]) for r in out) == [(1, 4951), (2, -4951)]
