@@ -44,6 +44,37 @@ def test_targets_and_copies(spark):
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix_sizes(frame(spark, rows)).collect()))
 
 
+def test_copies_have_the_stated_probability(spark):
+    """Over many sources of one shape the mean number of copies of each document is the rate: one document, a few, and null ids."""
+    shapes = {"a": [(True, 40)], "b": [(True, 5 + 13 * i) for i in range(9)], "c": [(False, 7)] * 12, "d": [(True, 400)]}
+    rows, n = [], 250
+    for i in range(n):
+        for shape, docs in shapes.items():
+            for j, (known, size) in enumerate(docs):
+                rows.append((len(rows) if known else None, f"w{j}x{i} " + "w " * (size - 1), f"{shape}{i:03}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    place = {r[:2]: r[1].split("x")[0] for r in rows}
+    seen = {}
+    for r in mixing.mixed(docs, weights=(1,)).collect():
+        k = r.source[0], place[r.doc_id, r.text]
+        seen[k] = seen.get(k, 0) + 1
+    rates = {r.source[0]: r.target / r.source_size for r in mixing.mix_sizes(docs, weights=(1,)).collect()}
+    assert any(x % 1 for x in rates.values())
+    for shape, some in shapes.items():
+        for j in range(len(some)):
+            assert abs(seen.get((shape, f"w{j}"), 0) / n - rates[shape]) < 0.13, (shape, j)  # four standard errors of a fair draw
+
+
+def test_one_document_sources(spark):
+    """The draw of a source of one document is fair over its ids, too."""
+    docs = spark.createDataFrame([(i, "w " * 10, f"s{i:04}") for i in range(2000)], "doc_id long, text string, source string")
+    got = mixing.mix_sizes(docs).collect()
+    for part in range(3):
+        some = [r for i, r in enumerate(sorted(got, key=lambda r: r.source)) if i % 3 == part]
+        rate = some[0].target / 10
+        assert abs(sum(r.copies for r in some) / len(some) - rate) < 0.08
+
+
 def test_mixed_repeats_rows_and_keeps_columns(spark):
     rows = [(i, "a b c", "s" if i % 3 else "t", "x", i) for i in range(300)]
     df = frame(spark, rows)
