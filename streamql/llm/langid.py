@@ -3,17 +3,20 @@
 A text is lower-cased; its letters' n-grams (ORDERS code points, word boundaries
 included) are hashed into BUCKETS embeddings of DIM numbers. Their average goes through
 a linear layer and a softmax. Both layers are trained by stochastic gradient descent in
-numpy on a bounded sample: about PER_LANG labelled documents of each language, of which
-only hashed counts reach the driver. A part of the sample calibrates: a temperature for
-the scores, and the score below which a prediction is rejected.
+numpy on a bounded sample: of each language the PER_LANG labelled documents with the
+smallest row hashes, fewer where there are many languages, so that they are MAX_SAMPLE at
+most in all. Only counts of their MOST most frequent buckets reach the driver (12 KB a
+document at most). A part of the sample calibrates: a temperature for the scores, and the
+score below which a prediction is rejected.
 
-For prediction the layers fold into one table (BUCKETS x languages), so a text costs
-one gather per n-gram. Whole texts are read, long ones block by block. One pass, no
-shuffle.
+Every language is learnt. Up to FOLDED of them the layers fold into one table (BUCKETS x
+languages) for prediction, so a text costs one gather per n-gram; beyond, the embeddings
+are averaged first. Whole texts are read, long ones block by block. One pass, no shuffle.
 
 Defined results. Null text, or one without a letter: "und", score 0, not accepted. If
-no labelled document can be learnt from, all are "und". Languages beyond MAX_LANGS, the
-rarest, are not learnt. Rows that repeat are predicted each. Empty table: empty result.
+no labelled document can be learnt from, all are "und". More than MAX_SAMPLE values of
+lang are an error, as no sample could hold them all. Rows that repeat are learnt from
+once and predicted each. Empty table: empty result.
 """
 
 import dataclasses
@@ -21,14 +24,16 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3, 4)
 DIM = 16
 PER_LANG = 300
-MAX_LANGS = 256
+MAX_SAMPLE = 20_000
+MOST = 2048
+FOLDED = 64
 BLOCK = 1 << 18
 #: Accepted predictions shall be right at this rate on the calibration part.
 PRECISION = 0.99
@@ -74,20 +79,28 @@ def grams(text: str):
 
 @dataclasses.dataclass
 class Model:
-    """langs, the folded table (BUCKETS x languages), bias, temperature and the least accepted score."""
+    """langs, embeddings (BUCKETS x DIM), weights (DIM x languages), bias, temperature and the least accepted score."""
 
     langs: list[str]
-    table: np.ndarray
+    embeddings: np.ndarray
+    weights: np.ndarray
     bias: np.ndarray
     temperature: float = 1.0
     least: float = 0.0
 
+    def __post_init__(self):
+        self.folded = len(self.langs) <= FOLDED
+        self.table = (self.embeddings @ self.weights if self.folded else self.embeddings).astype(np.float32)
+
     def logits(self, text: str | None):
-        total, n = np.zeros(len(self.langs)), 0
+        total, n = np.zeros(self.table.shape[1]), 0
         for g in grams(text) if text else ():
             total += self.table[g].sum(axis=0, dtype=np.float64)
             n += len(g)
-        return total / n + self.bias if n else None
+        if not n:
+            return None
+        mean = total / n
+        return (mean if self.folded else mean @ self.weights) + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         z = self.logits(text) if self.langs else None
@@ -98,6 +111,10 @@ class Model:
         return self.langs[k], float(p[k]), bool(p[k] >= self.least)
 
 
+#: The model of no language.
+NOTHING = ([], np.zeros((BUCKETS, DIM)), np.zeros((DIM, 0)), np.zeros(0))
+
+
 def _softmax(z):
     e = np.exp(z - z.max(axis=-1, keepdims=True))
     return e / e.sum(axis=-1, keepdims=True)
@@ -126,8 +143,8 @@ def fit(samples: list[tuple[int, np.ndarray, np.ndarray]], langs: list[str], epo
             e[f] = rows - (0.2 / (share @ share)) * share[:, None] * (w @ d)[None, :]
             w -= np.outer(x, d)
             b -= 0.1 * d
-    model = Model(langs, (e @ w).astype(np.float32), b)
-    z = np.array([share @ model.table[f] + b for _, f, share in tune])
+    model = Model(langs, e, w, b)
+    z = np.array([share @ e[f] @ w + b for _, f, share in tune])
     y = np.array([s[0] for s in tune])
     grid = np.geomspace(0.05, 20, 60)
     model.temperature = float(grid[np.argmin([-np.log(np.maximum(_softmax(z / t)[np.arange(len(y)), y], 1e-12)).mean() for t in grid])])
@@ -139,34 +156,37 @@ def fit(samples: list[tuple[int, np.ndarray, np.ndarray]], langs: list[str], epo
     return model
 
 
-def train(docs: DataFrame, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS) -> Model:
-    """Learn from (doc_id, text, lang) rows whose text and lang are not null."""
-    own = docs.select(docs["doc_id"], docs["text"], docs["lang"]).where("text is not null and lang is not null")
-    counts = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
-    langs = sorted(r["lang"] for r in counts)
+def train(docs: DataFrame, per_lang: int = PER_LANG, most: int = MAX_SAMPLE) -> Model:
+    """Learn from (doc_id, text, lang) rows whose text and lang are not null: per_lang rows a language, `most` in all."""
+    own = docs.select(docs["lang"], F.xxhash64(docs["doc_id"], docs["lang"], docs["text"]).alias("u"), docs["text"]).where("text is not null and lang is not null")
+    langs = sorted(r["lang"] for r in own.select("lang").distinct().limit(most + 1).collect())
+    if len(langs) > most:
+        raise ValueError(f"more than {most} languages: no sample of that size holds them all")
     if not langs:
-        return Model([], np.zeros((BUCKETS, 0), dtype=np.float32), np.zeros(0))
-    share = F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, per_lang / r["count"])))))
-    u = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 20)) / float(1 << 20)
+        return Model(*NOTHING)
+    each = max(1, min(per_lang, most // len(langs)))
+    # Row hashes alone are ranked; rows that repeat count once.
+    nth = F.dense_rank().over(Window.partitionBy("lang").orderBy("u"))
+    ends = own.select("lang", "u").withColumn("nth", nth).where(F.col("nth") <= each).groupBy("lang").agg(F.max("u").alias("last"))
     number = {x: i for i, x in enumerate(langs)}
 
     def rows(batches):
         for b in batches:
             out = []
-            for doc, text, lang in zip(*(b.column(i).to_pylist() for i in range(3))):
+            for u, text, lang in zip(*(b.column(i).to_pylist() for i in range(3))):
                 seen = list(grams(text))
                 if seen:
                     f, n = np.unique(np.concatenate(seen), return_counts=True)
-                    out.append((doc, number[lang], f.astype("<u2").tobytes(), (n / n.sum()).astype("<f4").tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 4, (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["doc_id", "y", "f", "share"])
-
-    sample = own.where(u < F.coalesce(share[F.col("lang")], F.lit(0.0))).select(F.col("doc_id").cast("long"), "text", "lang")
-    got = sample.mapInArrow(rows, "doc_id long, y int, f binary, share binary").toArrow().to_pylist()
-    got.sort(key=lambda r: (hash((r["doc_id"], 17)), r["y"]))
+                    top = np.sort(np.argsort(-n, kind="stable")[:MOST])
+                    f, n = f[top], n[top]
+                    out.append((u, number[lang], f.astype("<u2").tobytes(), (n / n.sum()).astype("<f4").tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 4, (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["u", "y", "f", "share"])
+
+    # One row a language, so bounded.
+    sample = own.join(F.broadcast(ends.withColumnRenamed("lang", "_lang")), F.col("lang") == F.col("_lang")).where("u <= last").select("u", "text", "lang")
+    got = sample.mapInArrow(rows, "u long, y int, f binary, share binary").dropDuplicates(["u", "y"]).orderBy("u", "y").toArrow().to_pylist()
     samples = [(r["y"], np.frombuffer(r["f"], "<u2").astype(np.int64), np.frombuffer(r["share"], "<f4").astype(float)) for r in got]
-    if not samples:
-        return Model([], np.zeros((BUCKETS, 0), dtype=np.float32), np.zeros(0))
-    return fit(samples, langs)
+    return fit(samples, langs) if samples else Model(*NOTHING)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

@@ -1,13 +1,14 @@
 """Quality rules: base counts of a text, and boosted trees over its statistics.
 
 The trees are fitted on a bounded sample of labelled documents (at most MAX_LABELS
-rows; statistics only, a few numbers a row) with monotonic constraints: more symbols,
-repeated words or duplicate lines never raise a document's chances. They are then
+rows, one a doc_id; statistics only, a few numbers a row) with monotonic constraints: more
+symbols, repeated words or duplicate lines never raise a document's chances. They are then
 flattened into node arrays and score whole batches at once. Each text is read as a
 whole, in one pass, without a shuffle: a document is decided where it lies.
 
 Defined results. Null text: no words, all counts 0, base_failed. Repeated rows are
-judged each for itself; of labels that repeat a doc_id each row counts. Without
+judged each for itself. Of labels that repeat a doc_id the mean counts, good from a half
+on; of documents that repeat one the text with the smallest hash is learnt from. Without
 labels of both kinds the verdict is the base rules' alone. Empty table: empty result.
 Extra columns are ignored by assess() and carried along by keep().
 """
@@ -147,18 +148,18 @@ def _stats_of(batch: pa.RecordBatch):
 
 
 def train(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, **params) -> Trees | None:
-    """Fit the trees on at most about max_labels labelled documents, chosen by a hash of doc_id."""
-    good = labels.where(labels["doc_id"].isNotNull() & labels["quality"].isNotNull()).select(labels["doc_id"], labels["quality"].cast("int").alias("quality"))
-    n = good.count()
-    chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, max_labels / max(1, n)))
-    sample = good.where(chosen)  # its bound makes it safe to broadcast
-    texts = docs.select(docs["doc_id"], docs["text"]).join(F.broadcast(sample), "doc_id").select("doc_id", "quality", "text")
+    """Fit the trees on at most max_labels labelled documents, those with the smallest hashes of doc_id; one row a doc_id."""
+    good = labels.where(labels["doc_id"].isNotNull() & labels["quality"].isNotNull()).groupBy(labels["doc_id"].cast("long").alias("_id"))
+    good = good.agg((F.avg(labels["quality"].cast("int")) >= 0.5).cast("int").alias("quality"))
+    sample = good.orderBy(F.xxhash64("_id"), "_id").limit(max_labels)  # its bound makes it safe to broadcast
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("doc_id", "quality", F.xxhash64("text").alias("h"), "text")
 
     def rows(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(_stats_of(b)[1]), pa.list_(pa.float64()))], names=["doc_id", "quality", "x"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), pa.array(list(_stats_of(b)[1]), pa.list_(pa.float64()))], names=["doc_id", "quality", "h", "x"])
 
-    got = texts.mapInArrow(rows, "doc_id long, quality int, x array<double>").orderBy("doc_id").toArrow()
+    found = texts.mapInArrow(rows, "doc_id long, quality int, h long, x array<double>").groupBy("doc_id").agg(F.min(F.struct("h", "quality", "x")).alias("one"))
+    got = found.select("doc_id", "one.quality", "one.x").orderBy("doc_id").toArrow()
     y = got.column("quality").to_numpy().astype(float)
     if not 0 < y.sum() < len(y):
         return None

@@ -42,3 +42,43 @@ def test_held_out_accuracy_and_rejection(spark):
     assert got[2003].lang_pred == "aa" and got[None].lang_pred == "bb" and all(0 <= r.score <= 1 for r in got.values())
     empty = langid.train(df.limit(0))
     assert langid.predict(df, empty).where("lang_pred <> 'und'").count() == 0 and langid.predict(df.limit(0), model).collect() == []
+
+
+def test_brute_force_scores():
+    """Folded or not, a score is the softmax of the averaged embeddings, worked out gram by gram."""
+    rng = np.random.default_rng(0)
+    for n in (3, langid.FOLDED + 1):
+        m = langid.Model([f"l{i:03}" for i in range(n)], rng.normal(size=(langid.BUCKETS, langid.DIM)), rng.normal(size=(langid.DIM, n)), rng.normal(size=n), 1.7)
+        for t in ("Ab c", "été 12 x", "word " * 300):
+            ids = [int(i) for g in langid.grams(t) for i in g]
+            x = sum(m.embeddings[i] for i in ids) / len(ids)
+            z = np.array([sum(a * b for a, b in zip(x, m.weights[:, k])) + m.bias[k] for k in range(n)]) / 1.7
+            p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+            lang, score, _ = m.predict(t)
+            assert lang == m.langs[int(p.argmax())] and abs(score - p.max()) < 1e-4
+
+
+def test_many_languages_and_repeated_ids(spark):
+    rng = random.Random(2)
+    alphabet = [chr(c) for c in range(0x4E00, 0x4E00 + 900)]
+    langs = {f"l{i:03}": alphabet[3 * i : 3 * i + 3] for i in range(300)}
+    say = lambda k: " ".join("".join(rng.choice(langs[k]) for _ in range(3)) for _ in range(8))
+    rows = [(10 * i + j, say(k), k) for i, k in enumerate(langs) for j in range(6)]
+    rows += [(5, "ka ke ki", "l000")] * 10_000 + [(None, f"ma mo {i}", "zz") for i in range(10_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    held = []
+    fit, langid.fit = langid.fit, lambda samples, names: held.append(samples) or fit(samples, names)
+    try:
+        model = langid.train(df, per_lang=5)
+    finally:
+        langid.fit = fit
+    assert len(model.langs) == 301
+    sizes = np.bincount([y for y, _, _ in held[0]])
+    assert sizes.max() <= 5 and sizes.min() >= 1 and sizes[-1] == 5
+    got = langid.predict(spark.createDataFrame([(i, say(k), k) for i, k in enumerate(langs)], "doc_id long, text string, lang string"), model).collect()
+    assert np.mean([r.lang_pred == f"l{r.doc_id:03}" for r in got]) > 0.9
+    try:
+        langid.train(df, most=100)
+        raise AssertionError
+    except ValueError:
+        pass

@@ -70,3 +70,44 @@ def test_assess_and_keep(spark):
     kept = quality.keep(df, model)
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i in got if got[i].kept}
     assert quality.train(df, labels.limit(0)) is None and quality.assess(df.limit(0), None).collect() == []
+
+
+def test_sample_is_bounded_by_id(spark):
+    rows = [(i, "good words here. " * 5 + str(i)) for i in range(200)] + [(7, f"$$$ *** {i}") for i in range(10_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(7, 1)] * 5000 + [(9, 0)] * 5000, "doc_id long, quality int")
+    seen = []
+    fit, quality.fit = quality.fit, lambda x, y, *a, **k: seen.append(y) or fit(x, y, *a, **k)
+    try:
+        assert quality.train(df, labels) is not None and quality.train(df, labels, max_labels=50) is not None
+    finally:
+        quality.fit = fit
+    assert [len(y) for y in seen] == [200, 50] and seen[0].sum() == 99
+
+
+def test_verdict_against_walked_trees(spark):
+    """kept, from statistics and trees worked out one document and node at a time."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(rng.randint(2, 7)))
+    rows = [(i, " ".join(word() + rng.choice(["", "!", "$"] if i % 2 else [""]) for _ in range(rng.randint(5, 60)))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    m = quality.train(df, spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(300)], "doc_id long, quality int"))
+
+    def features(t):
+        w = t.split()
+        n, chars = len(w), len("".join(w))
+        _, _, symbols, dup, repeated = brute(t)
+        share = lambda good: sum(map(good, t)) / chars
+        return [np.log1p(n), chars / n, symbols / chars, repeated / n, dup, share(str.isupper), share(lambda c: c in ".,;:!?"), share(lambda c: c == "!"), share(str.isdigit), len(set(w)) / n, n, 0.0]
+
+    def margin(x):
+        total = m.start
+        for i in m.roots:
+            while m.left[i] != i:
+                i = m.left[i] if x[m.feature[i]] <= m.cut[i] else m.right[i]
+            total += m.value[i]
+        return total
+
+    for r in quality.assess(df, m).collect():
+        t = rows[r.doc_id][1]
+        assert r.kept == (not r.base_failed and margin(features(t)) >= m.threshold)
