@@ -1,14 +1,17 @@
 """License scans: ordered signature rules, in Spark's own functions only.
 
-A text is gated first: one case-blind expression tells whether any keyword stands in
-it at all. Only gated texts are normalised to lower case words joined by single
-spaces. There each keyword that occurs opens its rules; a rule that matches marks the
-first and last word of its places. Overlapping places are then settled: a place inside
-a longer one goes (of equal places the rule that stands first in RULES wins), and of
-places that merely overlap the one with the stronger rule stays.
+A text is gated first: case-blind word tests tell whether any rule can match at all. Only
+gated texts are normalised to lower case words joined by single spaces. There each keyword
+that occurs opens its rules, whose patterns are literals of the plan, compiled once a task; a
+rule that matches marks the first and last word of its places. Overlapping places are then
+settled in one sweep in order of their first words (the longer, then the stronger rule
+first): a place inside the one that stands goes (so of equal places the rule that stands
+first in RULES wins), and of places that merely overlap the one with the stronger rule
+stands.
 
 It is one scan without a shuffle or a join, so no key can be hot and a lost task is
-simply run again.
+simply run again. The work grows with the text and the number of its places, as chains of
+overlapping places are swept apart from each other.
 
 Defined results. Null or empty text: no word, no place, labels "", score 0. Repeated
 rows are scanned each for itself. Extra columns of any name are ignored.
@@ -18,20 +21,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .license_rules import BASE, KEYWORDS, RULES
+from .license_rules import BASE, GATE_WORDS, RULES
 
 #: Words of a license scan: ASCII letters and digits and all non-ASCII characters.
 NO_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 CASED_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Every match of a rule or base phrase holds one of these, in any case of its letters.
-GATE_WORDS = (
-    "licen", "gpl", "mpl", "cddl", "cecill", "gnu", "eclipse", "ofl", "creative", "cc0", "bsd", "redistribution", "restriction", "wtfpl",
-    "domain", "beer", "proprietary", "confidential", "commercial", "warrant", "provided", "copy", "reserved", "apache", "mozilla",
-)
-#: But for "cc by", which has no rare word.
+#: The one base phrase without a rare word.
 GATE_CC = f"(?i)cc{NO_WORD}+by"
+#: Places of a chain that are swept at a time.
+BLOCK = 256
 
-PLACE = "array<struct<first:int,ending:int,priority:int,label:string,relevance:double>>"
+PLACE = "struct<first:int,ending:int,priority:int,label:string,relevance:double>"
 
 
 def normalised(text):
@@ -39,34 +39,70 @@ def normalised(text):
     return F.regexp_replace(F.concat(F.lit(" "), common.ascii_lower(text), F.lit(" ")), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")
 
 
-def _rule_table():
-    """RULES as one constant array of structs."""
-    rows = (f"named_struct('priority', {i}, 'label', '{label}', 'keyword', '{k}', 'pattern', '(?<= )({p})(?= )', 'relevance', double({x}))" for i, (label, k, p, x) in enumerate(RULES))
-    return F.expr(f"array({', '.join(rows)})")
+def _places(priority: int, label: str, pattern: str, relevance: float) -> str:
+    """SQL for where a rule matches in text n, null if nowhere: both ends are marked, then found among the words."""
+    own = f"'(?<= )({pattern})(?= )'"
+    marked = f"slice(split(regexp_replace(n, {own}, '\\u0001$1\\u0002'), ' '), 2, 1073741824)"
+    at = lambda test: f"filter(transform(w, (x, i) -> CASE WHEN {test} THEN i END), i -> i IS NOT NULL)"
+    starts, ends = at("startswith(x, '\\u0001')"), at("endswith(x, '\\u0002')")
+    place = f"named_struct('first', a, 'ending', -b, 'priority', {priority}, 'label', '{label}', 'relevance', double({relevance}))"
+    return f"CASE WHEN rlike(n, {own}) THEN transform(array({marked}), w -> zip_with({starts}, {ends}, (a, b) -> {place}))[0] END"
 
 
-def _places(norm, rule):
-    """Where a rule matches, by first and (negated) last word: both are marked, then found among the words."""
-    marked = F.regexp_replace(norm, rule["pattern"], F.lit("\x01$1\x02"))
-    words = F.slice(F.split(marked, F.lit(" ")), 2, 2**30)
-    starts = F.filter(F.transform(words, lambda w, i: F.when(F.startswith(w, F.lit("\x01")), i)), lambda i: i.isNotNull())
-    ends = F.filter(F.transform(words, lambda w, i: F.when(F.endswith(w, F.lit("\x02")), i)), lambda i: i.isNotNull())
-    return F.zip_with(
-        starts, ends, lambda a, b: F.struct(a.alias("first"), (-b).alias("ending"), rule["priority"].alias("priority"), rule["label"].alias("label"), rule["relevance"].alias("relevance"))
-    )
+def _all_places(norm: str):
+    """The places of all rules in column norm, sorted by first word, then longer and stronger ones first."""
+    groups = {}
+    for i, (label, keyword, pattern, relevance) in enumerate(RULES):
+        groups.setdefault(keyword, []).append(_places(i, label, pattern, relevance))
+    opened = (f"CASE WHEN contains(n, '{k}') THEN flatten(filter(array({', '.join(rules)}), r -> r IS NOT NULL)) END" for k, rules in groups.items())
+    return F.expr(f"transform(array({norm}), n -> sort_array(flatten(filter(array({', '.join(opened)}), g -> size(g) > 0))))[0]")
+
+
+def _let(value, body):
+    """body(value), with value worked out once: inside a lambda it would be once per element."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _swept(places):
+    """The places that stay of a chain. In one sweep each place meets the last one that stands.
+
+    A step copies the state, so it is kept short: BLOCK places are swept at a time.
+    """
+    none, empty = F.lit(None).cast(PLACE), F.array().cast(f"array<{PLACE}>")
+
+    def state(out, last):
+        return F.struct(out.alias("out"), last.alias("last"))
+
+    def step(s, x):
+        last = s["last"]
+        apart, inside, stronger = x["first"] > -last["ending"], x["ending"] >= last["ending"], x["priority"] < last["priority"]
+        pushed, replaced = state(F.concat(s["out"], F.array(last)), x), state(s["out"], x)
+        return F.when(last.isNull(), replaced).when(apart, pushed).when(inside | ~stronger, s).otherwise(replaced)
+
+    def block(s, some):
+        return _let(F.aggregate(some, state(empty, s["last"]), step), lambda r: state(F.concat(s["out"], r["out"]), r["last"]))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.size(places) - 1, F.lit(BLOCK)), lambda k: F.slice(places, k + 1, F.lit(BLOCK)))
+    return F.aggregate(blocks, state(empty, none), block, lambda s: F.concat(s["out"], F.array(s["last"])))
 
 
 def _settled(found):
-    """The places that stay, in order. In one sweep each place meets the last one kept."""
+    """The places that stay, in order: chains of overlapping places are told apart and swept each.
+
+    The i-th place opens a chain if all i places before it have ended, that is, if the i-th
+    smallest last word lies before its first.
+    """
+
+    def chains(places, lasts):
+        opens = F.filter(F.transform(places, lambda p, i: F.when((i == 0) | (F.get(lasts, i - 1) < p["first"]), i)), lambda i: i.isNotNull())
+        return _let(opens, lambda at: F.zip_with(at, F.concat(F.slice(at, 2, 2**30), F.array(F.size(places))), lambda a, z: F.slice(places, a + 1, z - a)))
 
-    def step(kept, x):
-        last = F.try_element_at(kept, F.lit(-1))
-        apart = last.isNull() | (x["first"] > -last["ending"])
-        inside = x["ending"] >= last["ending"]
-        stronger = x["priority"] < last["priority"]
-        return F.when(apart, F.concat(kept, F.array(x))).when(inside | ~stronger, kept).otherwise(F.concat(F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0))), F.array(x)))
+    def settle(places):
+        cut = _let(F.sort_array(F.transform(places, lambda p: -p["ending"])), lambda lasts: chains(places, lasts))
+        return F.flatten(F.transform(cut, lambda c: F.when(F.size(c) == 1, c).otherwise(_swept(c))))
 
-    return F.aggregate(found, F.array().cast(PLACE), step)
+    # One type throughout: where only nullability differs, Spark would cast whole states.
+    return _let(found.cast(f"array<{PLACE}>"), settle)
 
 
 def _spaces(text):
@@ -93,16 +129,11 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     first = [F.when(h, _spaces(F.substring_index(norm, f" {p} ", 1))) for h, (p, _) in zip(has, BASE)]
     last = [F.when(h, n_words - _spaces(F.substring_index(norm, f" {p} ", -1)) - len(p.split())) for h, (p, _) in zip(has, BASE)]
     base = F.array_sort(F.filter(F.array(*(F.when(h, F.lit(label)) for h, (_, label) in zip(has, BASE))), lambda x: x.isNotNull()))
-    own = F.array(*(F.lit(k) for k in KEYWORDS))
     out = out.select(
-        *held, n_words, norm, sum(count[1:], count[0]).cast("long").alias("_lic_n"), F.least(*first).cast("long").alias("_lic_first"), F.greatest(*last).cast("long").alias("_lic_last"),
-        base.alias("_lic_base"), F.when(norm.isNotNull(), F.filter(own, lambda k: F.contains(norm, k))).alias("_lic_keys"),
+        *held, n_words, sum(count[1:], count[0]).cast("long").alias("_lic_n"), F.least(*first).cast("long").alias("_lic_first"), F.greatest(*last).cast("long").alias("_lic_last"),
+        base.alias("_lic_base"), F.when(norm.isNotNull(), _all_places("_lic_norm")).alias("_lic_found"),
     )
-    keys = F.col("_lic_keys")
-    out = out.withColumn("_lic_hit", F.when(F.size(keys) > 0, F.filter(_rule_table(), lambda r: F.array_contains(keys, r["keyword"]) & F.rlike(norm, r["pattern"]))))
-    found = F.array_sort(F.flatten(F.transform("_lic_hit", lambda r: _places(norm, r))))
-    out = out.withColumn("_lic_found", F.when(F.size("_lic_hit") > 0, found))
-    out = out.withColumn("_lic_kept", F.coalesce(F.when(F.size("_lic_found") > 0, _settled(F.col("_lic_found"))), F.array().cast(PLACE)))
+    out = out.withColumn("_lic_kept", F.coalesce(F.when(F.size("_lic_found") > 0, _settled(F.col("_lic_found"))), F.array().cast(f"array<{PLACE}>")))
     kept = F.col("_lic_kept")
     labels = F.array_sort(F.array_union("_lic_base", F.transform(kept, lambda p: p["label"])))
     score = F.greatest(F.when(F.col("_lic_n") > 0, 0.8).otherwise(0.0), F.coalesce(F.array_max(F.transform(kept, lambda p: p["relevance"])), F.lit(0.0)))
