@@ -61,7 +61,12 @@ class Encoder:
         content, self.pattern = spec
         model = json.loads(content)
         vocab, letters = model["model"]["vocab"], _bytes_of_letters()
-        special = {t["content"] for t in model.get("added_tokens", ()) if t.get("special")}
+        added = [t for t in model.get("added_tokens", ()) if t.get("special")]
+        special = {t["content"]: np.array([t["id"]], dtype="<u4").tobytes() for t in added}
+        # Tokens that take white space or word bounds along are left to the library.
+        self.odd = any(t.get(k) for t in added for k in ("lstrip", "rstrip", "single_word", "normalized"))
+        self.special, self.content = special, content
+        self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")")
         merged = [vocab.get("".join(m.split(" ") if isinstance(m, str) else m)) for m in model["model"]["merges"]]
         if None not in merged and all(a < b for a, b in zip(merged, merged[1:])):
             import tiktoken
@@ -78,7 +83,18 @@ class Encoder:
         self.piece = lambda s: np.array(self.ids(s), dtype="<u4").tobytes()
         self.first, self.rest = _Cache(self.piece, ""), _Cache(self.piece, " ")
 
-    def encode(self, text: str) -> bytes:
+    @functools.cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_str(self.content)
+
+    def encode(self, text: str, special: bool = False) -> bytes:
+        """special: strings of special tokens become these tokens."""
+        if special and any(s in text for s in self.special):
+            if self.odd:
+                return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            return b"".join(self.special[x] if i % 2 else self.encode(x) for i, x in enumerate(self.at_special.split(text)) if x)
         if UNSAFE.search(text):
             return self.piece(text)
         head, *tail = text.split(" ")

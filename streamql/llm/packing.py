@@ -12,7 +12,11 @@ handled together. The solution is a list of runs: pieces of length L with ranks
 r + m lie in sequences b to b + m at offset o. Pieces get their rank within their
 length by salted row numbers, so a hot length is spread over many tasks.
 
-Defined results. Null or empty text: one piece that holds only the end token. Longer
+By default no sequence of `tokens` tokens can exceed the other two capacities, and their weights
+only break ties: that gives the fewest sequences, which op1 asks for. The last stage of
+corpus_pipeline.py sets a limit of documents and weights that count.
+
+Defined results. The string of a special token in a text is that token. Null or empty text: one piece that holds only the end token. Longer
 documents are cut from the end, so only piece 0 may be shorter. Rows that repeat a
 doc_id are packed each. Empty table: empty result. Extra columns are ignored.
 """
@@ -45,7 +49,7 @@ def pieces(docs: DataFrame, tokens: int = TOKENS, end_id: int = END_ID, tokenize
         for b in batches:
             out = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = enc.encode(text or "") + end
+                ids = enc.encode(text or "", special=True) + end
                 count = len(ids) // 4
                 cut = [0, *range(count % tokens or tokens, count + 1, tokens)]
                 for i, (a, e) in enumerate(zip(cut, cut[1:])):

@@ -8,9 +8,10 @@ from tokenizers import Tokenizer
 from streamql.llm import encoding, packing
 
 
-def reference():
+def reference(ordinary=False):
     t = Tokenizer.from_file(encoding.tokenizer_path())
-    t.encode_special_tokens = True
+    if ordinary:
+        t.encode_special_tokens = True
     return lambda s: t.encode(s, add_special_tokens=False).ids
 
 
@@ -21,9 +22,11 @@ def odd_texts():
 
 
 def test_encoder_equals_tokenizers():
-    ids, enc = reference(), encoding.encoder(encoding.read_spec())
-    for t in odd_texts():
-        assert np.frombuffer(enc.encode(t), "<u4").tolist() == ids(t), repr(t)
+    ids, plain, enc = reference(), reference(ordinary=True), encoding.encoder(encoding.read_spec())
+    assert ids("a <|endoftext|> b") == [64, 220, 50256, 275]
+    for t in odd_texts() + ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|> ", "x\n <|endoftext|>"]:
+        assert np.frombuffer(enc.encode(t, special=True), "<u4").tolist() == ids(t), repr(t)
+        assert np.frombuffer(enc.encode(t), "<u4").tolist() == plain(t), repr(t)
 
 
 def test_solver_keeps_every_capacity():
@@ -49,7 +52,7 @@ def test_solver_keeps_every_capacity():
 def test_packed(spark):
     rng, ids = random.Random(3), reference()
     rows = [(i, " ".join(rng.choice(["alpha", "Beta,", "x1", "été"]) for _ in range(rng.choice([3, 40, 300, 2500])))) for i in range(120)]
-    rows += [(500, None), (501, ""), (502, "same words"), (502, "same words"), (None, "no id")]
+    rows += [(600, "a <|endoftext|> b"), (500, None), (501, ""), (502, "same words"), (502, "same words"), (None, "no id")]
     df = spark.createDataFrame([(*r, 1, "z") for r in rows], "doc_id long, text string, piece int, salt string").repartition(3)
     got = packing.packed(df).collect()
     want, bins = Counter(), defaultdict(list)
@@ -75,3 +78,8 @@ def test_packed(spark):
             plain.append(n)
     assert len(bins) == len(plain)
     assert packing.packed(df.limit(0)).collect() == []
+    few = packing.packed(df, documents=3, weights=(1.0, 0.02, 0.02)).collect()
+    bins = defaultdict(list)
+    for r in few:
+        bins[r.sequence_id].append(r.length)
+    assert sum(map(len, bins.values())) == len(got) and max(map(len, bins.values())) == 3 and max(map(sum, bins.values())) <= 1024
