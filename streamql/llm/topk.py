@@ -6,9 +6,11 @@ candidates that have it and their weights) and, term by term, scatters the weigh
 postings of a block of query rows into a dense score array, one row per query. From
 the array the k best of a partition are selected; partitions are merged at the end.
 
-Queries are read in chunks of a fixed size, each broadcast to all candidate tasks
-(QUERY_CHUNK rows, so a few MB) and answered in a pass of its own, its result written
-to the shared folder. Candidates are never shuffled or paired with a join.
+Queries are read in chunks, each broadcast to all candidate tasks and answered in a pass of its
+own, its result written to the shared folder. A chunk has QUERY_CHUNK rows at most and
+CELLS numbers (rows x longest vector, 16 MB); a block of candidates has C_BLOCK rows and CELLS
+numbers at most, so one very long vector makes blocks small, not large. Candidates are never
+shuffled or paired with a join.
 
 Defined results. A vector that is null or holds a null or non-finite component takes
 no part, nor does a row without vec_id. Vectors of different length: missing terms
@@ -29,6 +31,8 @@ SCALE = 256
 QUERY_CHUNK = 16384
 #: Rows of a query block and of a candidate block: their score array stays in cache.
 Q_BLOCK, C_BLOCK = 64, 8192
+#: Numbers of a chunk of queries, or of a block of candidates, as a dense matrix.
+CELLS = 1 << 21
 LONG = 2**63 - 1
 
 
@@ -132,13 +136,26 @@ def _searcher(queries, k: int):
     return search
 
 
+def _cuts(widths: np.ndarray) -> list[int]:
+    """Ends of blocks of rows: at most C_BLOCK rows and, but for single rows, CELLS numbers as a matrix."""
+    ends, rows, widest = [], 0, 0
+    for i, w in enumerate(widths.tolist()):
+        if rows and (rows >= C_BLOCK or (rows + 1) * max(widest, w) > CELLS):
+            ends.append(i)
+            rows = widest = 0
+        rows, widest = rows + 1, max(widest, w)
+    return [*ends, len(widths)]
+
+
 def _blocks(held, take, best):
     table = pa.Table.from_batches(held).combine_chunks()
-    for a in range(0, table.num_rows, C_BLOCK):
-        part = table.slice(a, C_BLOCK).combine_chunks().to_batches()[0]
+    widths = np.concatenate([np.diff(c.offsets.to_numpy()) for c in table.column(1).chunks])
+    a = 0
+    for z in _cuts(widths):
+        part = table.slice(a, z - a).combine_chunks().to_batches()[0]
         vecs = part.column(1)
         ids, c = _matrix(part.column(0), vecs if vecs.offset == 0 else pa.concat_arrays([vecs]))
-        best = take(ids, c, best)
+        best, a = take(ids, c, best), z
     return best
 
 
@@ -147,7 +164,8 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = 5, chunk: int = Q
     spark = candidates.sparkSession
     first = Window.partitionBy("vec_id").orderBy("vec")
     asked = common.stored(queries.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n"), "topk-queries")
-    chunks = max(1, -(-asked.count() // chunk))
+    rows, widest = asked.agg(F.count("*"), F.coalesce(F.max(F.size("vec")), F.lit(0))).first()
+    chunks = max(1, -(-rows // chunk), -(-rows * widest // CELLS))
     merged = None
     for i in range(chunks):
         part = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(chunks)) == i).orderBy("vec_id").toArrow()

@@ -1,6 +1,8 @@
 import math
 import random
 
+import numpy as np
+
 from streamql.llm import topk
 
 
@@ -30,6 +32,18 @@ def test_against_brute_force(spark, monkeypatch):
     assert found(spark, rows, chunk=4) == brute(rows)
 
 
+def test_one_very_long_vector(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(300)] + [(400, [0.5] * 3000), (401, [0.25] * 2000)]
+    monkeypatch.setattr(topk, "CELLS", 4000)
+    assert found(spark, rows) == brute(rows)
+    for widths in ([4] * 50 + [3000] + [4] * 50, [], [9000], [1] * 10_000):
+        ends = topk._cuts(np.array(widths, dtype=int))
+        assert ends[-1] == len(widths)
+        for a, z in zip([0, *ends], ends):
+            assert z - a <= topk.C_BLOCK and (z - a <= 1 or (z - a) * max(widths[a:z]) <= 4000)
+
+
 def test_huge_components_and_empty(spark):
     rows = [(0, [1e30, -3.0]), (1, [1e30, 2.0]), (2, [-1e30, 2.0]), (50, [2.0, 2.0])]
     assert found(spark, rows) == brute(rows)
