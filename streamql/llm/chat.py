@@ -1,11 +1,13 @@
 """Chat formatting in budgeted windows.
 
-A conversation becomes one or more training windows of at most `budget` tokens. Prefix
-sums of its turns' tokens choose the spans: a window takes the system turn (if the
+A conversation becomes one or more training windows of at most `budget` tokens. Running
+sums of its turns' tokens (prefix sums, kept for the turns in reach only) choose the spans: a window takes the system turn (if the
 conversation opens with one), then some of the turns that came before, at most
 `history` tokens of them, then as many new turns as fit, whole turns only. What is
 repeated is masked: the loss covers each assistant text once, in the window in which
-it is new. A turn that alone exceeds the budget gets a window of its own, uncut.
+it is new. Every window but the one that holds it as new takes the system turn. A turn that
+exceeds the budget, alone or together with the system turn, gets a window without other turns,
+uncut; only such windows exceed the budget.
 
 Template: <|im_start|>role NEWLINE text <|im_end|> NEWLINE. In texts and roles one
 backslash is put into every "<|" (and one more into every "<", backslashes, "|"), so no
@@ -87,9 +89,8 @@ class _Conversation:
 
     def begin(self, need):
         """Choose what to repeat: the system turn, then the longest run of latest turns that leaves room for the next turn."""
-        room = self.budget - need
-        self.before = [self.system] if self.system and self.system[5] <= room else []
-        room = min(self.history, room - sum(t[5] for t in self.before))
+        self.before = [self.system] if self.system else []
+        room = min(self.history, self.budget - need - sum(t[5] for t in self.before))
         chosen = []
         for t in reversed(self.past):
             if t[5] > room:
