@@ -6,12 +6,14 @@ subtree its characters and its tokens. An edit goes down by characters to the le
 before its first changed character, pre-tokenises from that leaf's start, and stops as
 soon as a pre-token ends where an untouched leaf begins: from there on the text, and so
 its tokens, are what they were. Only that region is encoded; the leaf sums change and
-with them the sums above.
+with them the sums on the paths above: an edit costs its region and the tree's height, besides
+the copy of the text. A leaf that has grown FULL has the tree built anew over its leaves, once
+in so many insertions.
 
 Pre-tokens never look back, and forward by one character at most, which is why the
 leaf that holds the character before the edit is context enough.
 
-Defined results. Null text: no pre-token, 0 tokens; edits treat it as empty. An edit's
+Defined results. Strings of special tokens are ordinary text. Null text: no pre-token, 0 tokens; edits treat it as empty. An edit's
 start and length are cut to the text. A null replacement deletes. Edits of a document
 apply in order of seq (null first, then start, length, replacement). Edits of unknown
 documents or without doc_id are ignored. Rows that repeat a doc_id are counted each; in
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 from .encoding import UNSAFE, encoder, read_spec
 
 LEAF = 16
+#: Pre-tokens of a leaf that edits have filled; beyond, the leaves are dealt anew.
+FULL = 8 * LEAF
 STATE = "doc_id long, text string, n_tokens long, n_pretokens long, tree_chars array<int>, tree_tokens array<int>"
 
 
@@ -125,28 +129,29 @@ class Tree:
         return node - m, start
 
     def edit(self, start: int, length: int, replacement: str) -> None:
+        """Replace `length` characters from `start` on. Touches the leaves of the region and the paths above them."""
         start = min(max(0, start), len(self.text))
         end = min(start + max(0, length), len(self.text))
         m = len(self.heap) // 2
         leaf, begin = self.find(max(0, start - 1)) if self.text else (0, 0)
         text = self.text[:start] + replacement + self.text[end:]
-        shift = len(text) - len(self.text)
-        # Ends of the leaves from here on, in the new text; only those behind the edit can be where old and new meet again.
-        ends = np.cumsum(self.heap[m + leaf :, 0]) + begin
-        at = int(np.searchsorted(ends, end))
-        ends, behind = ends + shift, start + len(replacement)
+        shift, behind = len(text) - len(self.text), start + len(replacement)
+        # Old and new can meet again where a leaf ends that lies behind the edit: the first of these is found from the root.
+        at, stop = self.find(end - 1) if end > start else (leaf, begin)
+        stop += int(self.heap[m + at, 0])
         found, last = [], m
         for match in self.counter.pattern.finditer(text, begin):
             found.append(match[0])
             here = match.end()
             if here > behind:
-                while at < len(ends) and ends[at] < here:
+                while stop + shift < here and at + 1 < m:
                     at += 1
-                if at < len(ends) and ends[at] == here:
-                    last = leaf + at + 1
+                    stop += int(self.heap[m + at, 0])
+                if stop + shift == here:
+                    last = at + 1
                     break
-        new = self._grouped(self._sizes(found)) if found else np.zeros((1, 2), dtype=np.int64)
-        stop = int(self.heap[m : m + last, 0].sum())
+        if last == m:
+            stop = len(self.text)
         gone = 0
         for match in self.counter.pattern.finditer(self.text, begin):  # the whole old text, as a slice's end would look like the text's
             if match.end() > stop:
@@ -154,16 +159,18 @@ class Tree:
             gone += 1
         self.pretokens += len(found) - gone
         self.text = text
-        if len(new) <= last - leaf:  # in place: only paths to the root change
+        sizes, slots = self._sizes(found), last - leaf
+        each = max(1, -(-len(sizes) // slots))
+        if each <= FULL:  # in place: a leaf may grow to FULL pre-tokens
+            new = np.add.reduceat(sizes, np.arange(0, len(sizes), each), axis=0) if len(sizes) else sizes
             self.heap[m + leaf : m + last] = 0
             self.heap[m + leaf : m + leaf + len(new)] = new
             low, high = m + leaf, m + last - 1
             while low > 1:
                 low, high = low // 2, high // 2
-                both = np.arange(low, high + 1)
-                self.heap[both] = self.heap[2 * both] + self.heap[2 * both + 1]
-        else:  # more leaves: the sums above are built anew, nothing is encoded for it
-            leaves = np.concatenate((self.heap[m : m + leaf], new, self.heap[m + last :]))
+                self.heap[low : high + 1] = self.heap[2 * low : 2 * high + 2 : 2] + self.heap[2 * low + 1 : 2 * high + 2 : 2]
+        else:  # leaves are dealt anew, after FULL - LEAF new pre-tokens at least; nothing is encoded for it
+            leaves = np.concatenate((self.heap[m : m + leaf], self._grouped(sizes), self.heap[m + last :]))
             used = np.flatnonzero(leaves[:, 0])
             self.heap = _heap(leaves[used] if len(used) else leaves[:1])
 

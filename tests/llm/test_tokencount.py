@@ -42,6 +42,22 @@ def test_small_edits_encode_little():
     assert tree.encoded < 3 * tokencount.LEAF * 6
 
 
+def test_edits_touch_paths_only():
+    """Many edits in one place fill its leaf and then split it; in between the tree keeps its leaves, and each edit reads few of its rows."""
+    c, full = counter(), reference()
+    tree = tokencount.Tree(c, "plain words in a row " * 3000)
+    built, at = 0, 30_000
+    heap = tree.heap
+    for i in range(400):
+        tree.edit(at, 0, f" new{i}")
+        built += tree.heap is not heap
+        heap = tree.heap
+    assert 1 <= built <= 400 * 2 // (tokencount.FULL - tokencount.LEAF) + 1
+    tree.edit(10, 50_000, "")
+    tree.edit(0, 0, "start ")
+    assert tree.n_tokens == full(tree.text) and tree.heap[1, 0] == len(tree.text)
+
+
 def test_frames(spark):
     full, rng = reference(), random.Random(5)
     rows = [(i, random_text(rng, rng.choice([0, 3, 400])), "x") for i in range(40)] + [(50, None, ""), (51, "", None), (3, "again", ""), (None, "no id", "")]
