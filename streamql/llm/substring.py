@@ -19,9 +19,9 @@ probability of 2^-64 a pair at most.
 Hot passages. Before both shuffles a task settles what it can: of an anchor or window
 that several of its documents hold, only the smallest document's travels on; the others
 are known to be shared, or lost. So a passage in a third of all rows reaches a group
-once per chunk of CHUNK bytes of text, not once per document. Equal windows at place after
-place, as of a word said over and over, travel as one row. Texts are shuffled once, and
-both later steps reuse that exchange.
+once per chunk of CHUNK bytes of text, not once per document. Equal windows of one row
+that overlap, as of a word or a line said over and over, travel as one row. Texts are
+shuffled once, and both later steps reuse that exchange.
 
 Rows. Everything found is kept by row: under (doc_id, version). The version is 0, or a
 64-bit hash of the text as soon as any doc_id has several texts, and for rows without
@@ -112,7 +112,7 @@ def _texts(batches, *more):
 
 
 def _first_of_groups(key, doc):
-    """Per row: is its doc the smallest of its key here, and has its key another doc here?"""
+    """Per row: is its doc the smallest of its key here, and has its key another doc here? And the rows in order of key, doc and place."""
     order = np.lexsort((doc, key))
     k, d = key[order], doc[order]
     new = np.r_[True, k[1:] != k[:-1]]
@@ -122,7 +122,7 @@ def _first_of_groups(key, doc):
     high = d[np.r_[start[1:], len(k)] - 1]
     least, shared = np.empty(len(k), bool), np.empty(len(k), bool)
     least[order], shared[order] = d == low[group], (high > low)[group]
-    return least, shared
+    return least, shared, order
 
 
 ANCHOR_ROW = "h long, doc_id long, version long, pos int, known boolean"
@@ -151,7 +151,7 @@ def _anchors(batches):
         if not keys:
             continue
         key, doc, version, place = np.concatenate(keys), _ints(docs), _ints(versions), _ints(places, np.int32)
-        least, shared = _first_of_groups(key, doc)
+        least, shared, _ = _first_of_groups(key, doc)
         # What is known goes under a hash of its place, so that it spreads; the smallest document's also meets the others.
         h = np.concatenate((key[least], _spread(doc, version, place)[shared]))
         both = lambda x: pa.array(np.concatenate((x[least], x[shared])))
@@ -177,7 +177,7 @@ def _spread(doc, version, place):
     return h * np.uint64(0xD6E8FEB86659FD93)
 
 
-#: h: window hash; rest: its other 32 bits above the place; n: that many equal windows from the place on, or, if negative, that many lost ones.
+#: h: window hash; rest: its other 32 bits above the place; n: if the window is lost, so are the words of that many from the place on; if negative, -n windows from the place on are lost.
 WINDOW_ROW = "h long, doc_id long, version long, rest long, n int"
 
 
@@ -204,16 +204,19 @@ def _shared_windows(batches):
         if not first:
             continue
         h, g, doc, version, place = np.concatenate(first), np.concatenate(second), _ints(docs), _ints(versions), _ints(places)
-        least, _ = _first_of_groups(h ^ (g * np.uint64(MULTIPLIERS[1])), doc)
-        # Rows stand by document and place already.
-        at, n = _runs(h[least], g[least], doc[least], version[least], place[least])
-        at = np.flatnonzero(least)[at]
+        key = h ^ (g * np.uint64(MULTIPLIERS[1]))
+        least, _, order = _first_of_groups(key, doc)
+        # Rows stand by document and place already. Equal windows of a row that overlap, or follow at once, are one: they lose the same words as all windows in between.
+        o = order[least[order]]
+        k, d, v, p = key[o], doc[o], version[o], place[o]
+        start = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (d[1:] != d[:-1]) | (v[1:] != v[:-1]) | (np.diff(p) > WINDOW)])
+        at, n = o[start], p[np.r_[start[1:], len(p)] - 1] - p[start] + 1
         gone, lost = _runs(doc[~least], version[~least], place[~least])
         gone = np.flatnonzero(~least)[gone]
         both = lambda x: pa.array(np.concatenate((x[at], x[gone])))
-        key = np.concatenate((h[at], _spread(doc[gone], version[gone], place[gone]))).view(np.int64)
+        dealt = np.concatenate((h[at], _spread(doc[gone], version[gone], place[gone]))).view(np.int64)
         rest = np.concatenate(((g[at] << np.uint64(32) | place[at].astype(np.uint64)).view(np.int64), place[gone]))
-        yield pa.RecordBatch.from_arrays([pa.array(key), both(doc), both(version), pa.array(rest), pa.array(np.concatenate((n, -lost)).astype(np.int32))], names=["h", "doc_id", "version", "rest", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(dealt), both(doc), both(version), pa.array(rest), pa.array(np.concatenate((n, -lost)).astype(np.int32))], names=["h", "doc_id", "version", "rest", "n"])
 
 
 def _removal(text: bytes | None, lost):

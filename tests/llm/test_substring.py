@@ -98,3 +98,16 @@ def test_equal_windows_travel_as_one_row():
     chunk = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([text, text]), pa.array([0, 0]), pa.array([list(range(4981))] * 2)], names=["doc_id", "text", substring.VERSION, substring.ANCHORS])
     out = [r for b in substring._shared_windows([chunk]) for r in b.to_pylist()]
     assert sorted((r["doc_id"], r["n"]) for r in out) == [(1, 4951), (2, -4951)]
+    text = ("a line of seven words said again " * 700).encode()
+    chunk = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([text, text]), pa.array([0, 0]), pa.array([list(range(4881))] * 2)], names=["doc_id", "text", substring.VERSION, substring.ANCHORS])
+    out = [r for b in substring._shared_windows([chunk]) for r in b.to_pylist()]
+    assert len(out) == 8 and max(r["n"] for r in out) == 4845
+
+
+def test_repeated_lines_against_brute_force(spark):
+    rng = random.Random(12)
+    run = lambda n: [f"w{rng.getrandbits(20)}" for _ in range(n)]
+    lines = [run(n) for n in (1, 3, 7, 49, 50, 51, 120)]
+    rows = [[i, " ".join(run(rng.randint(0, 40)) + lines[i % 7] * rng.randint(1, 60) + run(rng.randint(0, 40)) + lines[i % 7] * 3)] for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(str(tuple(r)) for r in substring.dedup_digest(df).collect()) == sorted(str(x[:4]) for x in brute(rows))
