@@ -6,8 +6,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words are runs of anything but ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
+#: Words are runs of anything but ASCII white space (listed one by one, which Java matches faster than a range).
+WORD = r"[^\x20\x09\x0A\x0B\x0C\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:

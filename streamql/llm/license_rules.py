@@ -23,7 +23,7 @@ SENTENCES = [
     ("mit", r"(?:released|distributed|available) under (?:the )?(?:terms of (?:the )?)?mit licen[sc]e", 0.95),
     ("mit", r"use of this source code is governed by an? mit style licen[sc]e", 0.95),
     ("mit", r"opensource org licen[sc]es mit", 0.95),
-    ("mit-0", r"mit no attribution", 0.95),
+    ("mit-0", r"mit no attribution licen[sc]e|licen[sc]ed under (?:the )?mit no attribution", 0.95),
     ("isc", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", 1.0),
     ("isc", r"permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted", 0.95),
     ("isc", r"licen[sc]ed under (?:the )?(?:terms of (?:the )?)?isc", 0.9),
@@ -139,7 +139,7 @@ SENTENCES = [
     ("unlicense", r"in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest", 0.95),
     ("wtfpl", r"do what the (?:fuck|hell) you want to public licen[sc]e", 1.0),
     ("wtfpl", r"everyone is permitted to copy and distribute verbatim or modified copies of this licen[sc]e document and changing it is allowed", 0.9),
-    ("beerware", r"if we meet some day and you think this stuff is worth it you can buy me a beer in return", 1.0),
+    ("beerware", r"as long as you retain this notice you can do whatever you want with this stuff", 1.0),
     ("cc0-1.0", r"to the extent possible under law the author s? ?(?:has|have) (?:waived|dedicated) all copyright and related (?:or|and) neighboring rights", 1.0),
     ("cc0-1.0", r"dedicate all copyright and related and neighboring rights to this software to the public domain worldwide", 1.0),
     ("cc0-1.0", r"no copyright the person who associated a work with this deed has dedicated the work to the public domain", 1.0),
@@ -199,7 +199,6 @@ SENTENCES = [
     ("creative-commons", r"some rights reserved", 0.5),
     ("cc-by-nc", r"free to share (?:copy )?(?:and )?adapt (?:this work )?for non ?commercial purposes", 0.6),
     # Content and web notices
-    ("terms-of-use", r"use of this (?:site|website|service) constitutes acceptance of (?:our|the) (?:terms|user agreement)", 0.7),
     ("terms-of-use", r"by (?:using|accessing) this (?:site|website|service) you agree to (?:our|the|these) terms", 0.7),
     ("terms-of-use", r"subject to (?:our|the) terms of (?:use|service)", 0.5),
     ("no-reproduction", r"no part of this (?:publication|book|work|document) may be reproduced", 0.95),
@@ -217,21 +216,16 @@ SENTENCES = [
     ("public-domain", r"(?:has been|is|are|was) (?:hereby )?(?:released|placed|dedicated) (?:into|in|to) the public domain", 0.95),
     ("public-domain", r"public domain in the united states", 0.9),
     ("public-domain", r"is not subject to copyright protection(?: and is in the public domain)?", 0.8),
-    ("public-domain", r"a work of the united states government", 0.8),
-    ("gutenberg", r"this ebook is for the use of anyone anywhere", 1.0),
     ("gutenberg", r"project gutenberg (?:tm )?licen[sc]e", 0.95),
     # Closed software
     ("proprietary", r"this software is the confidential and proprietary information of", 1.0),
     ("proprietary", r"proprietary and confidential", 0.9),
     ("proprietary", r"(?:strictly )?confidential do not distribute", 0.8),
     ("proprietary", r"confidential (?:and proprietary )?information (?:of|belonging to)|proprietary (?:and confidential )?information (?:of|belonging to)", 0.9),
-    ("proprietary", r"unpublished (?:proprietary )?source code", 0.9),
-    ("proprietary", r"trade secrets? of", 0.5),
     ("eula", r"end user licen[sc]e agreement", 0.8),
     ("eula", r"you may not reverse engineer decompile or disassemble", 0.8),
     ("eula", r"this licen[sc]e agreement is a legal agreement between you", 0.9),
     ("restricted-rights", r"u ?s government (?:users )?restricted rights", 0.8),
-    ("evaluation", r"for evaluation (?:purposes )?only", 0.6),
     ("non-commercial", r"not for commercial use|not for resale", 0.8),
     ("non-commercial", r"(?:free )?for (?:personal and )?non ?commercial (?:use|purposes)(?: only)?", 0.7),
     ("non-commercial", r"commercial use (?:of this [a-z]{1,20} )?is (?:not permitted|not allowed|prohibited|forbidden)", 0.9),
@@ -239,8 +233,6 @@ SENTENCES = [
     ("freeware", r"this (?:program|software) is freeware", 0.7),
     ("patent-grant", r"additional grant of patent rights", 0.8),
     ("patent-grant", r"grants? (?:to )?you a (?:perpetual )?(?:worldwide )?(?:non exclusive )?(?:no charge )?(?:royalty free )?(?:irrevocable )?patent licen[sc]e", 0.8),
-    ("dco", r"developer certificate of origin", 0.7),
-    ("dco", r"signed off by", 0.3),
     ("cla", r"contributor licen[sc]e agreement", 0.6),
     # Disclaimers
     ("warranty", r"the software is provided as is without warrant(?:y|ies) of any kind", 0.8),
@@ -310,7 +302,7 @@ NAMES = [
     ("cc0-1.0", r"cc0(?: 1 0)?(?: universal)?", 0.95),
     ("cc0-1.0", r"creativecommons org publicdomain zero(?: 1 0)?", 0.9),
     ("public-domain", r"(?:released |placed |dedicated )?(?:into|in|to) the public domain", 0.8),
-    ("beerware", r"beer ?ware(?: licen[sc]e)?", 0.9),
+    ("beerware", r"beerware(?: licen[sc]e)?|beer ware licen[sc]e", 0.9),
     ("ms-pl", r"microsoft public licen[sc]e", 0.95),
     ("ms-rl", r"microsoft reciprocal licen[sc]e", 0.95),
     ("openssl", r"openssl licen[sc]e", 0.95),
@@ -318,7 +310,6 @@ NAMES = [
     ("ncsa", r"(?:university of illinois )?ncsa(?: open source)? licen[sc]e", 0.95),
     ("postgresql", r"postgresql licen[sc]e", 0.95),
     ("elastic", r"elastic licen[sc]e(?: 2 0)?", 0.9),
-    ("commons-clause", r"commons clause(?: licen[sc]e)? condition|licen[sc]ed with commons clause|commons clause licen[sc]e", 0.8),
     ("mulanpsl", r"mulan (?:permissive software licen[sc]e|psl)", 0.9),
     ("artistic", r"(?:perl )?artistic licen[sc]e", 0.7),
     ("gpl", r"gnu general public licen[sc]e", 0.8),
@@ -349,7 +340,7 @@ NAMES = [
 KEYWORDS = (
     "spdx", "unlicense", "creativecommons", "creative commons", "wtfpl", "cddl", "cecill", "eupl", "mulan", "affero", "agpl", "lgpl", "mozilla", "netscape", "eclipse", "zope", "latex", "apache", "boost", "openssl", "zlib", "libpng", "php",
     "python", "perl", "ruby", "cc0", "public domain", "mpl", "gpl", "gnu", "bsd", "isc", "mit", "ncsa", "postgresql", "vim", "w3c", "unicode", "jpeg", "freetype", "gutenberg", "ebook", "opendatacommons", "open data", 
-    "open font", "font", "microsoft", "shareware", "freeware", "beer", "proprietary", "confidential", "commercial", "merchantability", "warrant", "redistribut", "restrict", "reverse engineer", "reproduced", "reproduction", "unauthori",
+    "open font", "font", "microsoft", "retain", "shareware", "freeware", "beer", "proprietary", "confidential", "commercial", "merchantability", "warrant", "redistribut", "restrict", "reverse engineer", "reproduced", "reproduction", "unauthori",
     "copyleft", "copyright", "public licen", "public", "mining", "train", "terms", "patent", "signed off", "permission", "trade secret", "agreement", "advertis", "endorse", "government", "evaluation", 
     "licen", "provided", "software", "cc", "rights", "source", "origin", "resale", 
     "bison", "liable", "clause",
@@ -357,9 +348,8 @@ KEYWORDS = (
 
 #: Single words of which every match of a rule or base phrase holds one, in any case of its letters ("cc" rules apart).
 GATE_WORDS = (
-    "licen", "gpl", "gnu", "mpl", "bsd", "mit", "isc", "spdx", "cddl", "cecill", "eupl", "creative", "cc0", "wtfpl", "permi", "redistribut", "domain", "warrant", "copy", "reserved", "apache", "mozilla",
-    "eclipse", "proprietary", "confidential", "commercial", "reproduc", "unauthori", "reverse", "merchantab", "liable", "prohibited", "terms", "agreement", "restrict", "provided", "software", "patent", "contribut", "exception", "altered", "beer", "acceptance", "mining",
-    "train", "government", "ebook", "unpublished", "secret", "evaluation", "resale", "shareware", "freeware", "certificate", "signed", "clause", "mulan",
+    "licen", "gpl", "mpl", "bsd", "cddl", "cecill", "creative", "cc0", "wtfpl", "permi", "redistribut", "domain", "warrant", "copy", "reserved", "apache", "eclipse", "proprietary", "confidential", "commercial", "reproduc", "reverse",
+    "liable", "terms", "provided", "software", "patent", "contribut", "exception", "altered", "beerware", "retain", "mining", "train", "resale", "shareware", "freeware", "mulan", "unauthori", "restricted",
 )
 
 

@@ -23,9 +23,10 @@ from pyspark.sql import functions as F
 from . import common
 from .license_rules import BASE, GATE_WORDS, RULES
 
-#: Words of a license scan: ASCII letters and digits and all non-ASCII characters.
-NO_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-CASED_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Words of a license scan: ASCII letters and digits and all non-ASCII characters. Classes list each
+#: ASCII character, which Java looks up in a table, while it would try ranges one after the other.
+_OTHER = "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum())
+NO_WORD, CASED_WORD = f"[{_OTHER}]", f"[^{_OTHER}]+"
 #: The one base phrase without a rare word.
 GATE_CC = f"(?i)cc{NO_WORD}+by"
 #: Places of a chain that are swept at a time.
@@ -36,7 +37,7 @@ PLACE = "struct<first:int,ending:int,priority:int,label:string,relevance:double>
 
 def normalised(text):
     """' word word ... word ' in lower case; a text without words is a single space."""
-    return F.regexp_replace(F.concat(F.lit(" "), common.ascii_lower(text), F.lit(" ")), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")
+    return F.regexp_replace(F.concat(F.lit(" "), common.ascii_lower(text), F.lit(" ")), f"{NO_WORD}+", " ")
 
 
 def _places(priority: int, label: str, pattern: str, relevance: float) -> str:
