@@ -64,6 +64,59 @@ def decimal_op(x: Column, precision: int, scale: int) -> Column:
     return x.try_cast(f"decimal({precision},{scale})")
 
 
+def decimal_div(a: Column, b: Column, precision: int, scale: int) -> Column:
+    """a / b of decimals: 38 significant digits rounded half up, then the declared type; NULL where it doesn't fit, a zero divisor fails."""
+    return _decimal_pair(lambda x, y, context: context.divide(x, y), precision, scale)(*_decimals(a, b))
+
+
+def decimal_mod(a: Column, b: Column, precision: int, scale: int) -> Column:
+    """The remainder of decimals, with the sign of the dividend; a zero divisor fails."""
+    return _decimal_pair(lambda x, y, context: context.remainder(x, y), precision, scale)(*_decimals(a, b))
+
+
+def _decimals(a, b):
+    # Untyped, so that the divisor keeps its own type.
+    return a, F.when(b == 0, F.raise_error(F.lit("decimal division by zero"))).otherwise(b)
+
+
+def _decimal_pair(op, precision, scale):
+    """Spark cuts quotients of wide decimals to scale 6, so these are worked out by Python's decimals, in Arrow batches."""
+    import decimal
+
+    import pandas as pd
+
+    @F.pandas_udf(f"decimal({precision},{scale})")
+    def work(a: pd.Series, b: pd.Series) -> pd.Series:
+        context = decimal.Context(prec=38, rounding=decimal.ROUND_HALF_UP)
+        wide = decimal.Context(prec=80, rounding=decimal.ROUND_HALF_UP)
+        one, most = decimal.Decimal(1).scaleb(-scale), decimal.Decimal(10) ** (precision - scale)
+
+        def value(x, y):
+            if x is None or y is None:
+                return None
+            out = op(x, y, context).quantize(one, rounding=decimal.ROUND_HALF_UP, context=wide)
+            return out if abs(out) < most else None
+
+        return pd.Series([value(x, y) for x, y in zip(a, b)], dtype=object)
+
+    return work
+
+
+def number_to_string(x: Column) -> Column:
+    """CAST(number AS STRING): decimals and integers plain."""
+    return x.cast("string")
+
+
+def string_to_number(x: Column, to: str) -> Column:
+    """CAST(string AS number): white space around it is ignored; text that is no number fails."""
+    return F.trim(x).cast(to)
+
+
+def float_to_decimal(x: Column, precision: int, scale: int) -> Column:
+    """CAST(float AS DECIMAL(p, s)), half up; NULL where it doesn't fit."""
+    return x.try_cast(f"decimal({precision},{scale})")
+
+
 def narrow(x: Column, to: str) -> Column:
     """Integer to a narrower integer: the low bits."""
     return wrap(x, to)

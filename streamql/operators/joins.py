@@ -4,6 +4,9 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from streamql.functions import times
 
 #: A dimension of at most this many rows may be broadcast.
 BROADCAST_ROWS = 100_000
@@ -15,9 +18,38 @@ def join(left: DataFrame, right: DataFrame, on: Column, how: str = "inner", resi
 
 
 def interval_join(left: DataFrame, right: DataFrame, on: Column, l_ts: Column, r_ts: Column, lower: str, upper: str, how: str = "inner", residual: Column | None = None) -> DataFrame:
-    """Keys match and r_ts + lower <= l_ts <= r_ts + upper, both ends included."""
+    """Keys match and r_ts + lower <= l_ts <= r_ts + upper, both ends included.
+
+    Time is cut into buckets as long as upper - lower, which join the key: a row of one side
+    lies in one bucket, what it can match on the other side in two at most. So a hot key pairs
+    rows of neighbouring buckets only, and its buckets are spread over the tasks. The side
+    whose rows must all stay is the one that isn't copied; a full join is a left join and the
+    right rows without a match.
+    """
     near = (l_ts >= r_ts + F.expr(f"INTERVAL {lower}")) & (l_ts <= r_ts + F.expr(f"INTERVAL {upper}"))
-    return join(left, right, on & near, how, residual)
+    low, high = (times.interval_micros(left.sparkSession, x) for x in (lower, upper))
+    width = max(high - low, 1_000_000)
+    columns = [*left.columns, *right.columns]
+
+    def bucket(side, ts, shift=0):
+        return F.floor((times.micros(ts, side.select(ts).schema[0].dataType) + F.lit(shift)) / F.lit(width)).cast("long")
+
+    def joined(kind):
+        if kind.startswith("right"):
+            one = right.withColumn("_r_bucket", bucket(right, r_ts))
+            two = left.withColumn("_l_bucket", F.explode(F.array_distinct(F.array(bucket(left, l_ts, -high), bucket(left, l_ts, -low)))))
+            a, z = two, one
+        else:
+            one = left.withColumn("_l_bucket", bucket(left, l_ts))
+            two = right.withColumn("_r_bucket", F.explode(F.array_distinct(F.array(bucket(right, r_ts, low), bucket(right, r_ts, high)))))
+            a, z = one, two
+        return join(a, z, on & (F.col("_l_bucket") == F.col("_r_bucket")) & near, kind, residual)
+
+    if how != "full":
+        return joined(how).drop("_l_bucket", "_r_bucket")
+    # A row of the right side that met none is one of its right join without a left bucket.
+    unmet = joined("right").where("_l_bucket is null").drop("_l_bucket", "_r_bucket")
+    return joined("left").drop("_l_bucket", "_r_bucket").toDF(*(f"c{i}" for i in range(len(columns)))).unionAll(unmet).toDF(*columns)
 
 
 def window_join(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], how: str = "inner", residual: Column | None = None) -> DataFrame:
@@ -63,23 +95,30 @@ def lookup_join(probe: DataFrame, dim, on, how: str = "inner", *, schema: str |
     if isinstance(dim, DataFrame):
         small = dim.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
         return probe.join(F.broadcast(dim) if small else dim, on, how)
-    names = [c.strip().split()[0] for c in schema.split(",")]
-    out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in probe.schema) + ", " + schema
+    kinds = T._parse_datatype_string(schema)
+    out_schema = T.StructType([*probe.schema.fields, *kinds.fields])
 
-    def rows(frames):
-        import pandas as pd
+    def rows(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
 
         with ThreadPoolExecutor(workers) as pool:
-            for pdf in frames:
-                keys = list(dict.fromkeys(k for k in pdf[on].tolist() if not pd.isna(k)))
+            for b in batches:
+                asked = b.column(b.schema.get_field_index(on)).to_pylist()
+                keys = list(dict.fromkeys(k for k in asked if k is not None))
                 found = {}
                 for a in range(0, len(keys), buffer):
                     part = keys[a : a + buffer]
                     found |= dict(zip(part, pool.map(dim, part)))
-                out = []
-                for row in pdf.to_dict("records"):
-                    hits = [] if pd.isna(row[on]) else found.get(row[on]) or []
-                    out += [row | h for h in hits] if hits else [row | dict.fromkeys(names)] if how == "left" else []
-                yield pd.DataFrame(out, columns=[*pdf.columns, *names])
-
-    return probe.mapInPandas(rows, out_schema)
+                at, hits = [], []
+                for i, k in enumerate(asked):
+                    mine = (found.get(k) or []) if k is not None else []
+                    mine = mine or ([{}] if how == "left" else [])
+                    at += [i] * len(mine)
+                    hits += mine
+                # Rows are taken as they are: no column leaves Arrow, so no number changes.
+                kept = b.take(pa.array(at, pa.int64()))
+                found_columns = [pa.array([h.get(f.name) for h in hits], to_arrow_type(f.dataType)) for f in kinds]
+                yield pa.RecordBatch.from_arrays([*kept.columns, *found_columns], names=[*b.schema.names, *kinds.names])
+
+    return probe.mapInArrow(rows, out_schema)

@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from streamql.functions import times
+
 
 def topn(df: DataFrame, partition_by: list, order_by: list[Column], n: int, *, offset: int = 0, rank_col: str | None = None) -> DataFrame:
     """Rows with row number offset + 1 .. n per partition. order_by ends with a tie breaker (arrival)."""
@@ -24,12 +26,14 @@ def limit(df: DataFrame, n: int, order_by: list[Column], offset: int = 0) -> Dat
 def dedup(df: DataFrame, keys: list, order_by: str, seq: str, keep: str = "first") -> DataFrame:
     """One row per key: first the least order_by (ties: earlier seq), or last the greatest (ties: later seq).
 
-    An aggregate over (time, seq, row), so a hot key is combined before the shuffle.
+    An aggregate of the row by (time, seq), so a hot key is combined before the shuffle, and
+    columns of any type may come along.
     """
-    pick = F.min if keep == "first" else F.max
+    pick = F.min_by if keep == "first" else F.max_by
     rest = [c for c in df.columns if c not in keys]
-    best = df.where(df[order_by].isNotNull()).groupBy(*keys).agg(pick(F.struct(F.col(order_by).alias("_o"), F.col(seq).alias("_q"), F.struct(*rest).alias("_r"))).alias("_b"))
-    return best.select(*keys, "_b._r.*").select(*df.columns)
+    row, at = F.struct(*(df[c] for c in rest)), F.struct(df[order_by], df[seq])
+    best = df.where(df[order_by].isNotNull()).groupBy(*keys).agg(pick(row, at).alias("_r"))
+    return best.select(*keys, "_r.*").select(*df.columns)
 
 
 def over(df: DataFrame, partition_by: list, order_by: str, functions: dict[str, Column], frame: tuple = ("range", None)) -> DataFrame:
@@ -47,7 +51,34 @@ def over(df: DataFrame, partition_by: list, order_by: str, functions: dict[str,
 
 def _interval_over(df, partition_by, order_by, functions, size):
     """RANGE INTERVAL frames: microseconds as a long, so that the bound is a plain number."""
-    micros = F.unix_micros(F.col(order_by).cast("timestamp"))
-    span = int(df.sparkSession.sql(f"SELECT unix_micros(TIMESTAMP'1970-01-01 00:00:00 UTC' + INTERVAL {size}) AS m").first().m)
+    span = times.interval_micros(df.sparkSession, size)
     w = Window.partitionBy(*partition_by).orderBy("_micros").rangeBetween(-span, Window.currentRow)
-    return df.withColumn("_micros", micros).withColumns({n: f.over(w) for n, f in functions.items()}).drop("_micros")
+    out = df.withColumn("_micros", times.micros(df[order_by], df.schema[order_by].dataType))
+    return out.withColumns({n: f.over(w) for n, f in functions.items()}).drop("_micros")
+
+
+def over_running(df: DataFrame, partition_by: list, order_by: str, partial: dict[str, tuple[Column, str]], slice_size: str) -> DataFrame:
+    """RANGE UNBOUNDED PRECEDING for keys that are few and hot: sums, counts, minima and maxima, spread over time slices.
+
+    partial: output name -> (aggregate, how slices merge: sum, min or max). Rows are aggregated
+    per key and slice; the slices, a small table, are summed up in order; then each slice
+    finishes its own rows from what came before it. A key is so dealt to as many tasks as it has slices.
+    """
+    merge = {"sum": F.sum, "min": F.min, "max": F.max}
+    plus = {"sum": lambda a, b: F.coalesce(a, F.lit(0)) + b if b is not None else a, "min": F.least, "max": F.greatest}
+    sliced = df.withColumn("_slice", F.floor(times.micros(df[order_by], df.schema[order_by].dataType) / F.lit(times.interval_micros(df.sparkSession, slice_size))))
+    before = Window.partitionBy(*partition_by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = sliced.groupBy(*partition_by, "_slice").agg(*(a.alias(f"_{n}") for n, (a, _) in partial.items()))
+    carried = slices.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(partition_by)), F.col("_slice").alias("_s"), *(merge[how](f"_{n}").over(before).alias(f"_before_{n}") for n, (_, how) in partial.items()))
+    within = Window.partitionBy(*partition_by, "_slice").orderBy(order_by).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    own = sliced.withColumns({f"_own_{n}": a.over(within) for n, (a, _) in partial.items()})
+    on = F.col("_slice").eqNullSafe(F.col("_s"))
+    for i, c in enumerate(partition_by):
+        on &= F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    joined = own.join(carried, on)
+
+    def total(n, how):
+        a, b = F.col(f"_before_{n}"), F.col(f"_own_{n}")
+        return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(plus[how](a, b)).alias(n)
+
+    return joined.select(*df.columns, *(total(n, how) for n, (_, how) in partial.items()))

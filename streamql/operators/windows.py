@@ -57,6 +57,39 @@ def hop_agg(df: DataFrame, ts: str, slide: str, size: str, keys: list, partial:
     return out.select(*keys, F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), *partial)
 
 
+def cumulate_agg(df: DataFrame, ts: str, step: str, max_size: str, keys: list, partial: dict[str, tuple[Column, str]]) -> DataFrame:
+    """Cumulating aggregation by shared slices: rows are aggregated once per step, then slices are merged into the windows that hold them.
+
+    partial: as in hop_agg.
+    """
+    slices = df.groupBy(*keys, F.window(ts, step).alias("_s")).agg(*(a.alias(n) for n, (a, _) in partial.items()))
+    merge = {"sum": F.sum, "min": F.min, "max": F.max}
+    base = slices.withColumn("_t", F.col("_s.start")).withColumn("_b", F.window("_t", max_size))
+    ends = F.expr(f"filter(sequence(_b.start + INTERVAL {step}, _b.end, INTERVAL {step}), e -> e > _t)")
+    out = base.withColumn("window_end", F.explode(ends)).groupBy(*keys, F.col("_b.start").alias("window_start"), "window_end")
+    return out.agg(*(merge[how](n).alias(n) for n, (_, how) in partial.items()))
+
+
+def stream_session_agg(df: DataFrame, ts: str, gap: str, keys: list, aggs: list[Column]) -> DataFrame:
+    """Sessions that close by watermark; df carries one on ts."""
+    return session_agg(df, ts, gap, keys, aggs)
+
+
+def stream_cumulate_agg(df: DataFrame, ts: str, step: str, max_size: str, keys: list, partial: dict[str, tuple[Column, str]]) -> DataFrame:
+    """Cumulating windows on a stream: two chained stateful aggregations, by slice and then by window.
+
+    All windows of a max_size bucket are emitted when the watermark passes its end.
+    """
+    slices = df.groupBy(*keys, F.window(ts, step).alias("_s")).agg(*(a.alias(n) for n, (a, _) in partial.items()))
+    merge = {"sum": F.sum, "min": F.min, "max": F.max}
+    base = slices.withColumn("_t", F.window_time("_s")).withColumn("_start", F.col("_s.start"))
+    bucket = F.window("_t", max_size)
+    placed = base.select("*", bucket.alias("_b"))
+    ends = F.expr(f"filter(sequence(_b.start + INTERVAL {step}, _b.end, INTERVAL {step}), e -> e > _start)")
+    out = placed.withColumn("window_end", F.explode(ends)).groupBy(*keys, "_b", "window_end").agg(*(merge[how](n).alias(n) for n, (_, how) in partial.items()))
+    return out.select(*keys, F.col("_b.start").alias("window_start"), "window_end", *partial)
+
+
 def session_agg(df: DataFrame, ts: str, gap: str, keys: list, aggs: list[Column]) -> DataFrame:
     """Sessions [first, last + gap); rows exactly gap apart share one."""
     out = df.groupBy(*keys, F.session_window(ts, gap).alias("_w")).agg(*aggs)

@@ -146,11 +146,17 @@ def decode_raw(df: DataFrame, column: str, kind: str = "string", value: str = "v
 
 
 def _float_of(kind):
+    import numpy as np
     import pandas as pd
 
+    number = np.dtype(">" + RAW[kind])
+
     @F.pandas_udf(kind)
     def read(x: pd.Series) -> pd.Series:
-        return x.map(lambda b: None if b is None else struct.unpack(">" + RAW[kind], b)[0])
+        there = x.notna().to_numpy()
+        out = pd.Series([None] * len(x), dtype=object)
+        out[there] = np.frombuffer(b"".join(x[there]), number).astype(number.newbyteorder("=")).tolist()
+        return out
 
     return read
 
