@@ -44,6 +44,35 @@ def commit_partitions(df: DataFrame, path: str, partition_by: list[str], marker:
         df.unpersist()
 
 
+def write_once(path: str, *, compression: str = "snappy"):
+    """A foreachBatch sink that a repeated batch does not write twice: each batch has a folder of its own, replaced as a whole.
+
+    Sinks that can't replace (Kafka) get rows at least once; their readers drop repeats by the batch number that batch_rows() adds.
+    """
+
+    def write(df: DataFrame, batch_id: int) -> None:
+        write_parquet(df, f"{path}/batch={batch_id}", compression=compression, mode="overwrite")
+
+    return write
+
+
+def batch_rows(df: DataFrame, batch_id: int) -> DataFrame:
+    """Kafka rows with their batch number as a header, for readers that drop repeated batches."""
+    headers = F.array(F.struct(F.lit("batch").alias("key"), F.lit(str(batch_id)).cast("binary").alias("value")))
+    return df.withColumn("headers", headers)
+
+
+def append_to_log(df: DataFrame, path: str, *, partition_by=()) -> None:
+    """Append rows to a log table kept as a folder of Parquet files."""
+    write_parquet(df, path, partition_by=partition_by)
+
+
+def read_log(spark: SparkSession, path: str, schema, *, stream: bool = False, columns: list[str] | None = None, max_files: int | None = None) -> DataFrame:
+    """A log table, from its start: all there is, or as a stream also what is appended later. Only `columns` are read."""
+    log = read_parquet(spark, path, schema, stream=stream, max_files=max_files)
+    return log.select(*columns) if columns else log
+
+
 def kafka_options(servers: str, *, topics: list[str] | None = None, pattern: str | None = None, startup: str = "earliest", timestamp: int | None = None, offsets: str | None = None, bounded: bool = False) -> dict:
     """Options of Spark's Kafka source for startup modes earliest, latest, timestamp and offsets."""
     if (topics is None) == (pattern is None):
@@ -68,11 +97,11 @@ def read_kafka(spark: SparkSession, *, stream: bool = True, **options) -> DataFr
 def kafka_rows(df: DataFrame, encode, *, key: list[str] | None = None) -> DataFrame:
     """(key, value) to produce. With a key the topic is an upsert log: +I and +U carry the row, -U and -D a tombstone.
 
-    encode: a format's encoder, DataFrame -> DataFrame with one `value` column, row for row.
+    encode: a format's encoder, DataFrame -> DataFrame with one `value` column, row for row, for
+    topics without a key; keyed rows are JSON, as key and value are written side by side.
     """
     columns = [c for c in df.columns if c != "row_kind"]
     if key is None:
         return encode(df.select(*columns))
-    # The encoders work on whole rows, so key and value are written as JSON structs here.
     to_json = lambda names: F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).cast("binary")
     return df.select(to_json(key).alias("key"), F.when(F.col("row_kind").isin(*ADDS), to_json(columns)).alias("value"))

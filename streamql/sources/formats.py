@@ -135,7 +135,7 @@ def decode_raw(df: DataFrame, column: str, kind: str = "string", value: str = "v
     else:
         width = struct.calcsize(RAW[kind])
         hexed = F.hex(x if big_endian else F.unhex(F.array_join(F.reverse(F.expr(f"transform(sequence(1, {width}), i -> substring(hex(`{value}`), 2 * i - 1, 2))")), "")))
-        checked = F.when(F.length(x) == width, hexed).otherwise(F.raise_error(F.lit(f"raw {kind} needs {width} bytes")).cast("string"))
+        checked = F.when(x.isNull(), F.lit(None)).when(F.length(x) == width, hexed).otherwise(F.raise_error(F.lit(f"raw {kind} needs {width} bytes")).cast("string"))
         if kind in ("float", "double"):
             out = _float_of(kind)(F.unhex(checked))
         else:

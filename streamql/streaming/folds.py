@@ -1,7 +1,8 @@
 """What an updating operator keeps per key and shows for it: plain Python, no Spark.
 
 A fold has start() -> state, add(state, row) -> state and table(state) -> list of output
-rows (dicts). Rows are dicts; row_kind says whether a row comes or goes.
+rows (dicts). Rows are dicts; row_kind says whether a row comes or goes. Where state can be
+large (values of an aggregate, sides of a join) it is a mapping that the caller provides.
 """
 
 import dataclasses
@@ -53,40 +54,64 @@ class Agg:
 
 @dataclasses.dataclass
 class GroupAgg:
-    """A retractable aggregate: per aggregate the values with their net counts."""
+    """A retractable aggregate with one accumulator per aggregate.
+
+    COUNT, SUM and AVG are scalars. Only DISTINCT, MIN and MAX need the values with their net
+    counts: these stand in counts(i), a mapping, which in Spark reads and writes single
+    entries of the state store. Of MIN and MAX the extreme is kept; the values are read over
+    only when its last copy goes.
+    """
 
     aggs: list[Agg]
 
     def start(self):
-        return {"n": 0, "values": [{} for _ in self.aggs]}
+        """n: rows; per aggregate [values counted, their total, extreme]."""
+        return {"n": 0, "accs": [[0, 0, None] for _ in self.aggs]}
 
-    def add(self, state, row):
+    def add(self, state, row, counts):
         k = signed(row)
         state["n"] += k
-        for a, values in zip(self.aggs, state["values"]):
+        for i, (a, acc) in enumerate(zip(self.aggs, state["accs"])):
             v = 1 if a.column is None else row[a.column]
-            if v is not None and (a.where is None or a.where(row)):
-                values[v] = values.get(v, 0) + k
-                if not values[v]:
+            if v is None or (a.where is not None and not a.where(row)):
+                continue
+            step = k
+            if a.distinct or a.kind in ("min", "max"):
+                values = counts(i)
+                before = values.get(v, 0)
+                after = before + k
+                if after:
+                    values[v] = after
+                else:
                     del values[v]
+                step = (after > 0) - (before > 0)
+            if a.kind in ("min", "max"):
+                acc[0] += step
+                pick = min if a.kind == "min" else max
+                if step > 0:
+                    acc[2] = v if acc[2] is None else pick(acc[2], v)
+                elif step < 0 and v == acc[2]:
+                    acc[2] = pick((x for x, n in values.items() if n > 0), default=None)
+            else:
+                acc[0] += step
+                if a.kind != "count":
+                    acc[1] += v * step
         return state
 
     def table(self, state):
-        return [{a.name: self._value(a, v) for a, v in zip(self.aggs, state["values"])}] if state["n"] > 0 else []
+        return [{a.name: self._value(a, acc) for a, acc in zip(self.aggs, state["accs"])}] if state["n"] > 0 else []
 
     @staticmethod
-    def _value(a, values):
-        times = {v: 1 if a.distinct else n for v, n in values.items()}
+    def _value(a, acc):
+        n, total, extreme = acc
         if a.kind == "count":
-            return sum(times.values())
-        if not times:
-            return None
+            return n
         if a.kind in ("min", "max"):
-            return min(times) if a.kind == "min" else max(times)
-        total = sum(v * n for v, n in sorted(times.items()))
+            return extreme
+        if not n:
+            return None
         if a.kind == "sum":
             return _wrap(total, a.bits) if a.bits else total
-        n = sum(times.values())
         return (abs(total) // n * (1 if total >= 0 else -1)) if isinstance(total, int) else total / n
 
 
@@ -167,95 +192,140 @@ class Normalize:
 
 @dataclasses.dataclass
 class Join:
-    """An updating join of rows tagged `side` (l or r): multisets of both sides, matched anew for the key."""
+    """An updating join, row by row. Each side is a mapping row -> [copies, matches on the other side].
+
+    A row meets the other side of its key once; matches are counted, so that outer rows are padded
+    when the first match goes and taken back when it comes. Nothing is matched anew.
+    """
 
     how: str
     left: list[str]
     right: list[str]
     residual: Callable | None = None
 
-    def start(self):
-        return {"l": [], "r": []}
+    def add(self, row, side: str, sign: int, sides: dict):
+        """(row kind sign, output row) of what row, a tuple of its side's columns, changes. sides: l and r -> mapping."""
+        mine, other = sides[side], sides["r" if side == "l" else "l"]
+        have = mine.get(row)
+        if sign < 0 and not have:
+            return
+        own = dict(zip(self.left if side == "l" else self.right, row))
+        outer_mine = self.how == "full" or self.how == ("left" if side == "l" else "right")
+        outer_other = self.how == "full" or self.how == ("right" if side == "l" else "left")
+        half = self.how in ("semi", "anti")
+        matched = 0
+        for their_row, (copies, met) in list(other.items()):
+            theirs = dict(zip(self.right if side == "l" else self.left, their_row))
+            pair = own | theirs if side == "l" else theirs | own
+            if self.residual is not None and self.residual(*((own, theirs) if side == "l" else (theirs, own))) is not True:
+                continue
+            matched += copies
+            if not half:
+                for _ in range(copies):
+                    yield sign, pair
+            turns = met == 0 if sign > 0 else met == 1  # the other row gets its first match, or loses its last
+            if turns and outer_other:
+                padded = dict.fromkeys(self.left if side == "l" else self.right) | theirs
+                for _ in range(copies):
+                    yield -sign, padded
+            if turns and half and side == "r":
+                for _ in range(copies):
+                    yield (sign if self.how == "semi" else -sign), theirs
+            other[their_row] = [copies, met + sign]
+        if outer_mine and not matched:
+            yield sign, dict.fromkeys(self.right if side == "l" else self.left) | own
+        if half and side == "l" and (matched > 0) == (self.how == "semi"):
+            yield sign, own
+        copies = (have[0] if have else 0) + sign
+        if copies:
+            mine[row] = [copies, matched]
+        else:
+            del mine[row]
 
-    def add(self, state, row):
-        side = state[row["side"]]
-        body = {k: row[k] for k in (self.left if row["side"] == "l" else self.right)}
-        if signed(row) > 0:
-            side.append(body)
-        elif body in side:
-            side.remove(body)
-        return state
 
-    def table(self, state):
-        left, right, how = state["l"], state["r"], self.how
-        match = [[self.residual is None or self.residual(a, b) is True for b in right] for a in left]
-        if how in ("semi", "anti"):
-            return [a for a, m in zip(left, match) if any(m) == (how == "semi")]
-        out = [a | b for a, m in zip(left, match) for b, hit in zip(right, m) if hit]
-        if how in ("left", "full"):
-            out += [a | dict.fromkeys(self.right) for a, m in zip(left, match) if not any(m)]
-        if how in ("right", "full"):
-            out += [dict.fromkeys(self.left) | b for j, b in enumerate(right) if not any(m[j] for m in match)]
-        return out
+def net(changes) -> list[dict]:
+    """Changes (sign, row) of a batch as changelog rows; what cancels out is not emitted."""
+    total, rows = {}, {}
+    for sign, row in changes:
+        k = repr(sorted(row.items(), key=lambda x: x[0]))
+        total[k] = total.get(k, 0) + sign
+        rows[k] = row
+    out = [{"row_kind": "-D"} | rows[k] for k, n in total.items() for _ in range(-n)]
+    return out + [{"row_kind": "+I"} | rows[k] for k, n in total.items() for _ in range(n)]
 
 
 @dataclasses.dataclass
-class TemporalJoin:
-    """As-of join of probe rows (side l) to versions (side r): the latest version not after the probe."""
+class Over:
+    """Running aggregates in time order: functions name -> (kind, column), kind count, sum, avg, min or max.
 
-    probe_ts: str
-    version_ts: str
-    left: list[str]
-    right: list[str]
-    outer: bool = False
+    frame: None (unbounded, by RANGE: rows of one time share their result), ("rows", n) or
+    ("range", width). Held is what later rows can still need: accumulators, or the last n
+    rows, or those no older than width.
+    """
+
+    functions: dict[str, tuple[str, str | None]]
+    frame: tuple | None = None
 
     def start(self):
-        return {"l": [], "r": {}}
+        return [] if self.frame else {}
+
+    def step(self, held, peers):
+        """Take the rows of one time, (time, row) each, in order of arrival: what is held then, and the rows with their results."""
+        if not self.frame:
+            for name, (kind, column) in self.functions.items():
+                held[name] = self._merged(kind, held.get(name), [r[column] if column else 1 for _, r in peers])
+            return held, [r | {n: self._result(k, held[n]) for n, (k, _) in self.functions.items()} for _, r in peers]
+        kind, size = self.frame
+        out = []
+        if kind == "range":
+            now = peers[0][0]
+            held = [x for x in held if x[0] >= now - size] + peers
+            return held, [r | self._over(held) for _, r in peers]
+        for t, r in peers:
+            held = (held + [(t, r)])[-(size + 1) :]
+            out.append(r | self._over(held))
+        return held[-size:] if size else [], out
+
+    def _over(self, rows):
+        return {n: self._result(k, self._merged(k, None, [r[c] if c else 1 for _, r in rows])) for n, (k, c) in self.functions.items()}
 
-    def add(self, state, row):
-        if row["side"] == "l":
-            state["l"].append({k: row[k] for k in self.left})
-        else:
-            state["r"][row[self.version_ts]] = None if signed(row) < 0 else {k: row[k] for k in self.right}
-        return state
+    @staticmethod
+    def _merged(kind, acc, values):
+        values = [v for v in values if v is not None]
+        if kind == "count":
+            return (acc or 0) + len(values)
+        if kind in ("min", "max"):
+            values += [] if acc is None else [acc]
+            return (min if kind == "min" else max)(values, default=None)
+        n, total = acc or (0, 0)
+        return n + len(values), total + sum(values)
 
-    def table(self, state):
-        times = sorted(state["r"])
-        out = []
-        for a in state["l"]:
-            seen = [t for t in times if t <= a[self.probe_ts]]
-            v = state["r"][seen[-1]] if seen else None
-            if v is not None or self.outer:
-                out.append(a | (v or dict.fromkeys(self.right)))
-        return out
+    @staticmethod
+    def _result(kind, acc):
+        if kind not in ("sum", "avg"):
+            return acc
+        n, total = acc
+        if not n:
+            return None
+        return total if kind == "sum" else (abs(total) // n * (1 if total >= 0 else -1)) if isinstance(total, int) else total / n
 
 
 @dataclasses.dataclass
-class Over:
-    """A running aggregate per row in time order. frame: None (unbounded), ("rows", n) or ("range", width)."""
+class Versions:
+    """The versions of a key for a temporal join: (time, order, row or None once deleted), sorted. Keeps the last one before any time to come."""
 
-    ts: str
-    name: str
-    function: Callable
-    frame: tuple | None = None
+    def add(self, held, time, order, row):
+        held = [x for x in held if x[:2] != (time, order)] + [(time, order, row)]
+        return sorted(held, key=lambda x: x[:2])
 
-    def start(self):
-        return []
+    def at(self, held, time):
+        seen = [x for x in held if x[0] <= time]
+        return seen[-1][2] if seen else None
 
-    def add(self, state, row):
-        return state + [{k: v for k, v in row.items() if k != "row_kind"}]
-
-    def table(self, state):
-        rows = sorted(state, key=lambda r: r[self.ts])
-        out = []
-        for i, r in enumerate(rows):
-            if self.frame and self.frame[0] == "rows":
-                seen = rows[max(0, i - self.frame[1]) : i + 1]
-            else:
-                low = r[self.ts] - self.frame[1] if self.frame else None
-                seen = [x for x in rows if x[self.ts] <= r[self.ts] and (low is None or x[self.ts] >= low)]
-            out.append(r | {self.name: self.function(seen)})
-        return out
+    def evicted(self, held, time):
+        """Without the versions that no row after time can ask for."""
+        old = [x for x in held if x[0] <= time]
+        return old[-1:] + held[len(old) :]
 
 
 def changes(before: list[dict], after: list[dict], emit_update_before: bool = True) -> list[dict]:

@@ -81,3 +81,43 @@ def test_scalar_function(spark):
     assert [r.y for r in spark.createDataFrame([(1,), (None,)], "x bigint").select(f(F.col("x")).alias("y")).collect()] == [2, None]
     udf.register_sql(spark, "twice", lambda x: x * 2, "bigint")
     assert spark.sql("SELECT twice(id) AS y FROM range(2)").collect()[1].y == 2
+
+
+def test_decimal_quotients(spark):
+    wide = lambda x: F.lit(decimal.Decimal(x)).cast("decimal(38,10)")
+    assert one(spark, E.decimal_div(wide("1"), wide("3"), 38, 18)) == decimal.Decimal("0.333333333333333333")
+    assert one(spark, E.decimal_div(wide("2"), wide("-3"), 10, 2)) == decimal.Decimal("-0.67") and one(spark, E.decimal_div(wide("5000"), wide("1"), 4, 2)) is None
+    assert one(spark, E.decimal_mod(wide("-7.5"), wide("2"), 10, 2)) == decimal.Decimal("-1.50")
+    for f in (E.decimal_div, E.decimal_mod):
+        try:
+            one(spark, f(wide("1"), wide("0"), 10, 2))
+            raise AssertionError
+        except Exception as e:
+            assert "division by zero" in str(e)
+
+
+def test_lookups_keep_every_digit(spark):
+    df = spark.createDataFrame([(1, 2**53 + 1), (2, None), (3, -(2**63))], "k long, big long").coalesce(1)
+    got = joins.lookup_join(df, lambda k: [{"d": decimal.Decimal(k), "big2": 2**62 + k}] * k if k < 3 else [], "k", "left", schema="d decimal(10,2), big2 bigint")
+    want = [(1, 2**53 + 1, decimal.Decimal(1), 2**62 + 1)] + [(2, None, decimal.Decimal(2), 2**62 + 2)] * 2 + [(3, -(2**63), None, None)]
+    assert [tuple(r) for r in got.collect()] == want
+
+
+def test_interval_join_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(4)
+    side = lambda n: [(i, rng.choice([1, 1, 1, 2, None]), rng.choice([None, *range(0, 40)])) for i in range(n)]
+    a, b = side(60), side(50)
+    frame = lambda rows, names: spark.createDataFrame(rows, f"{names[0]} long, {names[1]} long, {names[2]} long").withColumn(names[2], F.timestamp_seconds(names[2]).cast("timestamp_ntz"))
+    left, right = frame(a, ("a", "ka", "ta")), frame(b, ("b", "kb", "tb"))
+    hit = lambda x, y: x[1] == y[1] and None not in (x[1], x[2], y[2]) and y[2] - 7 <= x[2] <= y[2] + 3
+    pairs = [(x[0], y[0]) for x in a for y in b if hit(x, y)]
+    lone = {"left": [(x[0], None) for x in a if not any(hit(x, y) for y in b)], "right": [(None, y[0]) for y in b if not any(hit(x, y) for x in a)]}
+    lone |= {"inner": [], "full": lone["left"] + lone["right"]}
+    for how in ("inner", "left", "right", "full"):
+        got = joins.interval_join(left, right, left["ka"] == right["kb"], left["ta"], right["tb"], "-7 SECONDS", "3 SECONDS", how)
+        assert got.columns == ["a", "ka", "ta", "b", "kb", "tb"]
+        assert sorted(map(str, ((r.a, r.b) for r in got.collect()))) == sorted(map(str, pairs + lone[how])), how
+    plan = joins.interval_join(left, right, left["ka"] == right["kb"], left["ta"], right["tb"], "-7 SECONDS", "3 SECONDS")._jdf.queryExecution().optimizedPlan().toString()
+    assert "_l_bucket" in plan and "_r_bucket" in plan
