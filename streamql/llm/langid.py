@@ -156,18 +156,27 @@ def fit(samples: list[tuple[int, np.ndarray, np.ndarray]], langs: list[str], epo
     return model
 
 
+def _share_end(share: float) -> int:
+    """The hash, a signed long, that this share of all hashes doesn't exceed."""
+    return min(2**63 - 1, int(share * 2**64) - 2**63)
+
+
 def train(docs: DataFrame, per_lang: int = PER_LANG, most: int = MAX_SAMPLE) -> Model:
     """Learn from (doc_id, text, lang) rows whose text and lang are not null: per_lang rows a language, `most` in all."""
     own = docs.select(docs["lang"], F.xxhash64(docs["doc_id"], docs["lang"], docs["text"]).alias("u"), docs["text"]).where("text is not null and lang is not null")
-    langs = sorted(r["lang"] for r in own.select("lang").distinct().limit(most + 1).collect())
+    # Row hashes are dealt evenly, so a count tells below which of them the smallest `each` lie, with room to spare.
+    counts = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.approx_count_distinct("u").alias("n")).limit(most + 1).collect()}
+    langs = sorted(counts)
     if len(langs) > most:
         raise ValueError(f"more than {most} languages: no sample of that size holds them all")
     if not langs:
         return Model(*NOTHING)
     each = max(1, min(per_lang, most // len(langs)))
-    # Row hashes alone are ranked; rows that repeat count once.
-    nth = F.dense_rank().over(Window.partitionBy("lang").orderBy("u"))
-    ends = own.select("lang", "u").withColumn("nth", nth).where(F.col("nth") <= each).groupBy("lang").agg(F.max("u").alias("last"))
+    below = docs.sparkSession.createDataFrame([(x, _share_end((2 * each + 30) / max(1, n))) for x, n in counts.items()], "_lang string, below long")
+    # One row a language, so bounded. Only hashes below the bound are made distinct and ranked; rows that repeat count once.
+    few = own.join(F.broadcast(below), F.col("lang") == F.col("_lang")).where("u <= below").select("lang", "u").distinct()
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("u"))
+    ends = few.withColumn("nth", nth).where(F.col("nth") <= each).groupBy("lang").agg(F.max("u").alias("last"))
     number = {x: i for i, x in enumerate(langs)}
 
     def rows(batches):
@@ -182,7 +191,6 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, most: int = MAX_SAMPLE) ->
                     out.append((u, number[lang], f.astype("<u2").tobytes(), (n / n.sum()).astype("<f4").tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 4, (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["u", "y", "f", "share"])
 
-    # One row a language, so bounded.
     sample = own.join(F.broadcast(ends.withColumnRenamed("lang", "_lang")), F.col("lang") == F.col("_lang")).where("u <= last").select("u", "text", "lang")
     got = sample.mapInArrow(rows, "u long, y int, f binary, share binary").dropDuplicates(["u", "y"]).orderBy("u", "y").toArrow().to_pylist()
     samples = [(r["y"], np.frombuffer(r["f"], "<u2").astype(np.int64), np.frombuffer(r["share"], "<f4").astype(float)) for r in got]

@@ -58,6 +58,20 @@ def test_brute_force_scores():
             assert lang == m.langs[int(p.argmax())] and abs(score - p.max()) < 1e-4
 
 
+def test_sample_is_the_smallest_row_hashes(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, text("aa", rng), "aa") for i in range(3000)] + [(i, text("bb", rng), "bb") for i in range(20)]
+    df = spark.createDataFrame(rows + rows[:500], "doc_id long, text string, lang string").repartition(7)
+    held = []
+    monkeypatch.setattr(langid, "fit", lambda samples, names: held.append(samples))
+    langid.train(df, per_lang=40)
+    hashed = df.selectExpr("xxhash64(doc_id, lang, text) AS u", "text", "lang").distinct().collect()
+    want = [sorted((r.u, r.text) for r in hashed if r.lang == x)[:40] for x in ("aa", "bb")]
+    texts = [t for _, t in sorted(want[0] + want[1])]
+    assert len(held[0]) == 60 and [set(f.tolist()) for _, f, _ in held[0]] == [set(np.concatenate(list(langid.grams(t))).tolist()) for t in texts]
+    assert langid._share_end(0) == -(2**63) and langid._share_end(0.5) == 0 and langid._share_end(7) == 2**63 - 1
+
+
 def test_many_languages_and_repeated_ids(spark):
     rng = random.Random(2)
     alphabet = [chr(c) for c in range(0x4E00, 0x4E00 + 900)]
