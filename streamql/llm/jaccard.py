@@ -20,6 +20,9 @@ every two blocks meet in a tile of their own: no task holds more than two blocks
 pair is left out. The cost of such a node is the square of its number of blocks; it arises only
 where thousands of different texts share all minima of a band, that is, are nearly equal.
 
+Hot bands. A key that more than _hot() sets share is looked up by broadcast, not by a shuffle
+on the key, and there are at most HOT_KEYS of these at any size of the table, as the bound grows with it.
+
 Defined results. Words are folded as in simhash.py. Fewer words than a shingle: the
 whole sequence is the one shingle. Wordless texts are linked with each other only. Every
 row is judged by its own text, so a doc_id that repeats with other texts joins nothing.
@@ -44,6 +47,8 @@ ROUNDS = ((0, 2), (2, 6), (6, BANDS))
 NODE_SETS, NODE_SHINGLES = 1024, 1 << 21
 #: So many keys are broadcast at most (16 bytes each).
 BROADCAST = 200_000
+#: So many band keys count as hot at most (24 bytes each); fewer sets than HOT_LEAST never make one hot.
+HOT_KEYS, HOT_LEAST = 100_000, 256
 #: Rows of a batch that are hashed together, and hashes of a block.
 BATCH, BLOCK = 256, 2048
 #: Odd multipliers, from a rule: each gives one order of all hashes.
@@ -214,24 +219,41 @@ def _pairs(edges):
     return pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
-def _met(classes: DataFrame) -> DataFrame:
+def _hot(sets: int) -> int:
+    """More sets than this share a hot key. All sets have BANDS keys, so at most HOT_KEYS keys are hot."""
+    return max(HOT_LEAST, sets * BANDS // HOT_KEYS)
+
+
+def _by_key(rows: DataFrame, keyed: DataFrame, hot: int) -> DataFrame:
+    """rows joined to keyed on key; both hold n, the key's number of sets. The rows of a hot key stay where they are."""
+    keyed = keyed.withColumnRenamed("n", "_n")
+    cold = rows.where(F.col("n") <= hot).join(keyed.where(F.col("_n") <= hot), "key")
+    return cold.unionAll(rows.where(F.col("n") > hot).join(F.broadcast(keyed.where(F.col("_n") > hot)), "key")).drop("_n")
+
+
+def _met(classes: DataFrame, hot: int) -> DataFrame:
     """(key, band, sid, n, weight): the band keys that several sets share, with how many do and how many shingles they have."""
     rows = classes.select("sid", "size", F.posexplode("bands").alias("band", "key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("weight")).where("n > 1")
-    return rows.join(shared, "key").select("key", "band", "sid", "n", "weight")
+    shared = common.stored(rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("weight")).where("n > 1"), "jaccard-shared")
+    hottest = F.broadcast(shared.where(F.col("n") > hot))
+    cold = rows.join(hottest, "key", "left_anti").join(shared.where(F.col("n") <= hot), "key")
+    columns = ("key", "band", "sid", "n", "weight")
+    met = common.stored(cold.select(*columns).unionAll(rows.join(hottest, "key").select(*columns)), "jaccard-met")
+    common.dropped(shared)
+    return met
 
 
-def _tiles(met: DataFrame, classes: DataFrame, roots: DataFrame, first: int, end: int) -> DataFrame:
+def _tiles(met: DataFrame, classes: DataFrame, roots: DataFrame, first: int, end: int, hot: int) -> DataFrame:
     """(sid, root, tiles) of the sets that must still be compared in the bands first .. end - 1."""
     known = met.where(F.col("band").between(first, end - 1)).join(roots.withColumnRenamed("fp", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    apart = known.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    own = known.join(apart, "key")
+    apart = known.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.first("n").alias("n")).where("low < high").select("key", "n")
+    own = _by_key(known, apart, hot)
     if first:  # members that all met before have been compared
         own = common.stored(own.join(classes.select("sid", F.slice("bands", 1, first).alias("early")), "sid"), "jaccard-apart")
         strange = [F.min(F.col("early")[i]) < F.max(F.col("early")[i]) for i in range(first)]
         for s in strange[1:]:
             strange[0] = strange[0] & s
-        own = own.join(own.groupBy("key").agg(strange[0].alias("open")).where("open").select("key"), "key")
+        own = _by_key(own, own.groupBy("key").agg(strange[0].alias("open"), F.first("n").alias("n")).where("open").select("key", "n"), hot)
     blocks = F.greatest(F.ceil(F.col("n") / NODE_SETS), F.ceil(F.col("weight") / NODE_SHINGLES), F.lit(1)).cast("int")
     own = own.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("sid", "key"), F.col("blocks")).cast("int"))
     tile = lambda j: F.xxhash64("key", F.least(F.col("block"), j), F.greatest(F.col("block"), j))
@@ -267,10 +289,11 @@ def components(texts: DataFrame, classes: DataFrame) -> DataFrame:
     same = classes.select("sid", "fp").join(reps, "fp").where("sid <> rep").select(F.col("sid").alias("a"), F.col("rep").alias("b"))
     ends = simhash.links(reps.select("fp")).join(reps.select(F.col("fp").alias("a"), F.col("rep").alias("p")), "a").join(reps.select(F.col("fp").alias("b"), F.col("rep").alias("q")), "b")
     edges = common.stored(same.unionAll(ends.select(F.col("p").alias("a"), F.col("q").alias("b"))), "jaccard-links")
-    met = common.stored(_met(classes), "jaccard-met")
+    hot = _hot(classes.count())
+    met = _met(classes, hot)
     roots = simhash.components(edges)
     for first, end in ROUNDS:
-        more = _found(texts, classes, _tiles(met, classes, roots, first, end))
+        more = _found(texts, classes, _tiles(met, classes, roots, first, end, hot))
         if more.head(1):
             edges = edges.unionAll(more)
             old, roots = roots, simhash.components(edges)

@@ -73,14 +73,22 @@ def planted(rng):
 
 
 def test_components_are_those_of_all_pairs(spark, monkeypatch):
-    for seed, most in [(1, 1024), (2, 12)]:  # 12: hot nodes are cut into blocks
+    for seed, most, hot in [(1, 1024, 256), (2, 12, 3)]:  # 12: hot nodes are cut into blocks; 3: hot keys are broadcast
         monkeypatch.setattr(jaccard, "NODE_SETS", most)
+        monkeypatch.setattr(jaccard, "HOT_LEAST", hot)
         rows = planted(random.Random(seed))
         got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
         assert {r.doc_id: r.component_id for r in got} == brute(rows)
         assert len(got) == len(rows)
 
 
+def test_hot_keys_are_bounded(monkeypatch):
+    for sets in (0, 1, 5000, 10**6, 10**10):
+        assert sets * jaccard.BANDS // (jaccard._hot(sets) + 1) <= jaccard.HOT_KEYS
+    monkeypatch.setattr(jaccard, "HOT_LEAST", 0)
+    assert jaccard._hot(jaccard.HOT_KEYS) == jaccard.BANDS
+
+
 def test_bands_find_what_is_similar():
     rng = np.random.default_rng(0)
     lost = 0
