@@ -1,13 +1,21 @@
-"""What the operators share: word pattern, shared storage."""
+"""What the operators share: word pattern, shared storage, Python workers that hold little memory."""
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but ASCII white space (listed one by one, which Java matches faster than a range).
 WORD = r"[^\x20\x09\x0A\x0B\x0C\x0D]+"
+#: Rows of a batch that a worker takes at once.
+SLICE = 512
+#: Blocks of so many bytes go back to the system as soon as they are free.
+MAPPED = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -65,3 +73,48 @@ def _delete(spark, paths):
 def ascii_lower(text):
     """A-Z to a-z, nothing else: Spark's lower() would fold all of Unicode."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+@functools.cache
+def _libc():
+    """The C library, told to return large free blocks at once; None if it can't be told."""
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, MAPPED)  # M_MMAP_THRESHOLD; given, it no longer grows with the blocks that are freed
+        libc.mallopt(-1, MAPPED)  # M_TRIM_THRESHOLD
+        return libc if hasattr(libc, "malloc_trim") else None
+    except (AttributeError, OSError):
+        return None
+
+
+def _sliced(batches):
+    for b in batches:
+        for at in range(0, b.num_rows, SLICE):
+            yield b.slice(at, SLICE)
+
+
+def lean(work):
+    """work (batches -> batches) for a worker process that outlives its task.
+
+    Workers are used again and again, and what Arrow's and C's allocators keep of freed memory
+    counts against the executor all along. So Arrow takes its memory from the C library,
+    which gives large blocks back at once, and the rest goes back at the end of the task. Batches
+    come in slices, so the Python values of a few rows are held, not of thousands. Rows are the same.
+    """
+
+    def rows(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
+        libc = _libc()
+        try:
+            yield from work(_sliced(batches))
+        finally:
+            gc.collect()
+            if libc:
+                libc.malloc_trim(0)
+
+    return rows
+
+
+def mapped(df: DataFrame, work, schema) -> DataFrame:
+    """df.mapInArrow(work, schema) in workers that hold little memory."""
+    return df.mapInArrow(lean(work), schema)

@@ -271,8 +271,8 @@ def _found(texts: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame
     near = texts.join(F.broadcast(ids), (texts["h"] == ids["_g"]) & texts["doc_id"].eqNullSafe(ids["_i"]), "left_semi") if few else texts
     rows = near.join(wanted, (near["h"] == wanted["_h"]) & near["doc_id"].eqNullSafe(wanted["_id"])).select("sid", "root", "tiles", "text")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.mapInArrow(_members, MEMBERS).repartition(n, "tile").sortWithinPartitions("tile", "sid")
-    edges = common.stored(dealt.mapInArrow(_linked, "a long, b long").distinct(), "jaccard-links")
+    dealt = common.mapped(rows, _members, MEMBERS).repartition(n, "tile").sortWithinPartitions("tile", "sid")
+    edges = common.stored(common.mapped(dealt, _linked, "a long, b long").distinct(), "jaccard-links")
     common.dropped(wanted)
     return edges
 
@@ -309,7 +309,7 @@ def _hashed(docs: DataFrame) -> DataFrame:
 def classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, h, sid) of docs, and classes (sid, root, rep): of each set its component and its smallest row (none, doc_id, h)."""
     texts = _hashed(docs)
-    keyed = common.stored(texts.mapInArrow(_keys, KEYS), "jaccard-keys")
+    keyed = common.stored(common.mapped(texts, _keys, KEYS), "jaccard-keys")
     classes = common.stored(_classes(keyed), "jaccard-classes")
     own = keyed.select("doc_id", "h", "sid")
     roots = components(texts, classes)

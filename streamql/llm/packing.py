@@ -59,7 +59,7 @@ def pieces(docs: DataFrame, tokens: int = TOKENS, end_id: int = END_ID, tokenize
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 6, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32", "salt"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(rows, PIECES)
+    return common.mapped(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]), rows, PIECES)
 
 
 def solve(histogram: dict[int, int], tokens: int, documents: int, cost: int, weights=WEIGHTS, rule: str = "residual_norm"):
@@ -140,7 +140,7 @@ def pack(found: DataFrame, tokens: int = TOKENS, documents: int | None = None, c
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(5)), pa.array(run[:, 3] + rank - run[:, 1]), pa.array(run[:, 4])], names=names)
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-    return ranked.mapInArrow(rows, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return common.mapped(ranked, rows, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def packed(docs: DataFrame, tokens: int = TOKENS, tokenizer: str | None = None, **limits) -> DataFrame:

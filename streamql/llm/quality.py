@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 MAX_LABELS = 20_000
 SPACE = b" \t\n\r\x0b\x0c"
 SYMBOLS = b"#*$%&|<>"
@@ -158,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, **pa
         for b in batches:
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), pa.array(list(_stats_of(b)[1]), pa.list_(pa.float64()))], names=["doc_id", "quality", "h", "x"])
 
-    found = texts.mapInArrow(rows, "doc_id long, quality int, h long, x array<double>").groupBy("doc_id").agg(F.min(F.struct("h", "quality", "x")).alias("one"))
+    found = common.mapped(texts, rows, "doc_id long, quality int, h long, x array<double>").groupBy("doc_id").agg(F.min(F.struct("h", "quality", "x")).alias("one"))
     got = found.select("doc_id", "one.quality", "one.x").orderBy("doc_id").toArrow()
     y = got.column("quality").to_numpy().astype(float)
     if not 0 < y.sum() < len(y):
@@ -189,7 +191,7 @@ def assess(docs: DataFrame, model: Trees | None) -> DataFrame:
 
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"]
     kinds = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, score double"
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(rows, kinds)
+    return common.mapped(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]), rows, kinds)
 
 
 def keep(docs: DataFrame, model: Trees | None) -> DataFrame:
@@ -200,7 +202,7 @@ def keep(docs: DataFrame, model: Trees | None) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(_judge(b, shared.value)[3]))
 
-    return docs.mapInArrow(rows, docs.schema)
+    return common.mapped(docs, rows, docs.schema)
 
 
 def op4_quality(spark, sf_dir: str) -> DataFrame:

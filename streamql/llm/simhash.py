@@ -74,7 +74,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             fp = np.array([fingerprint(t or b"", shingle) for t in b.column(1).cast(pa.binary()).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(rows, "doc_id long, fp long")
+    return common.mapped(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]), rows, "doc_id long, fp long")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -213,7 +213,7 @@ def links(fps: DataFrame, radius: int = 2, limit: int = NODE_LIMIT) -> DataFrame
         held = {r.path for r in dealt.select("path").distinct().collect()}  # at most a few hundred band paths
         paths = {k: v for k, v in following.items() if k in held}
     placed = small.repartition("node").sortWithinPartitions("node")
-    return placed.mapInArrow(_node_edges(radius), "a long, b long").distinct()
+    return common.mapped(placed, _node_edges(radius), "a long, b long").distinct()
 
 
 def _spread_join(many: DataFrame, key: str, by: str, one: DataFrame, own: str, how: str = "inner") -> DataFrame:

@@ -55,7 +55,7 @@ class _WordHash(dict):
     """word -> 64-bit hash; bounded, as a task may see any number of words."""
 
     def __missing__(self, word):
-        if len(self) >= 1 << 19:
+        if len(self) >= 1 << 17:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word, 7)
         return h
@@ -248,13 +248,13 @@ def with_lost_windows(dealt: DataFrame) -> DataFrame:
     dealt: what _dealt() gave. Its three uses ask for the same rows and columns, so that its
     exchange is made once and reused; hence the left joins, and no filter here.
     """
-    rows = dealt.mapInArrow(_anchors, ANCHOR_ROW)
+    rows = common.mapped(dealt, _anchors, ANCHOR_ROW)
     by = Window.partitionBy("h")
     met = rows.withColumn("low", F.min("doc_id").over(by)).withColumn("high", F.max("doc_id").over(by))
     row = [F.col("doc_id").alias(DOC_OF), F.col("version").alias(VERSION_OF)]
     shared = met.where("known or low < high").groupBy(*row).agg(F.collect_list("pos").alias(ANCHORS))
     n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    whole = _joined(dealt, shared).mapInArrow(_shared_windows, WINDOW_ROW).repartition(n, "h").withColumn("g", F.shiftright("rest", 32))
+    whole = common.mapped(_joined(dealt, shared), _shared_windows, WINDOW_ROW).repartition(n, "h").withColumn("g", F.shiftright("rest", 32))
     low = whole.withColumn("low", F.min("doc_id").over(Window.partitionBy("h", "g"))).where("n < 0 or low < doc_id")
     run = F.shiftleft(F.col("rest").bitwiseAND(F.lit(0xFFFFFFFF)), 32).bitwiseOR(F.abs("n").cast("long"))
     lost = low.groupBy(*row).agg(F.collect_list(run).alias(LOST))
@@ -284,7 +284,7 @@ def dedup_digest(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     dealt = _dealt(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]))
-    return with_lost_windows(dealt).mapInArrow(rows, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return common.mapped(with_lost_windows(dealt), rows, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -316,7 +316,7 @@ def dedup(docs: DataFrame) -> DataFrame:
                 cols[chars] = pa.array(sizes, cols[chars].type)
             yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(keep_row))
 
-    return with_lost_windows(_dealt(docs)).mapInArrow(rows, docs.schema)
+    return common.mapped(with_lost_windows(_dealt(docs)), rows, docs.schema)
 
 
 def op7_substring(spark, sf_dir: str) -> DataFrame:
