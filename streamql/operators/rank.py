@@ -37,7 +37,10 @@ def dedup(df: DataFrame, keys: list, order_by: str, seq: str, keep: str = "first
 
 
 def over(df: DataFrame, partition_by: list, order_by: str, functions: dict[str, Column], frame: tuple = ("range", None)) -> DataFrame:
-    """Aggregates over ... up to the current row. frame: ("range", None), ("rows", n) or ("range", "INTERVAL ..." text)."""
+    """Aggregates over ... up to the current row. frame: ("range", None), ("rows", n) or ("range", "INTERVAL ..." text).
+
+    An interval frame is taken up anew for each row; over_interval does not, for aggregates that merge.
+    """
     kind, size = frame
     w = Window.partitionBy(*partition_by).orderBy(order_by)
     if kind == "rows":
@@ -57,6 +60,41 @@ def _interval_over(df, partition_by, order_by, functions, size):
     return out.withColumns({n: f.over(w) for n, f in functions.items()}).drop("_micros")
 
 
+def over_interval(df: DataFrame, partition_by: list, order_by: str, partial: dict[str, tuple[Column, str]], size: str) -> DataFrame:
+    """RANGE BETWEEN size PRECEDING AND CURRENT ROW in time that grows with the rows, not with rows times frame. partial: as in over_running.
+
+    A sliding frame takes up all its rows again for each row. Here time is cut into slices as
+    long as the frame. So a frame is its row's slice up to the row, and the slice before from
+    as far in as the row is in its own: two running aggregates, one of them backwards. Every
+    row goes to its own slice and, to be aggregated only, to the next. A key is so dealt to as
+    many tasks as it has slices. Rows without a time are each other's frame.
+    """
+    span = times.interval_micros(df.sparkSession, size)
+    if span < 1:
+        return over(df, partition_by, order_by, {n: a for n, (a, _) in partial.items()}, ("range", size))
+    merge = {"sum": F.sum, "min": F.min, "max": F.max}
+    at = df.withColumn("_micros", times.micros(df[order_by], df.schema[order_by].dataType)).withColumn("_at", F.pmod("_micros", F.lit(span)))
+    copies = F.when(F.col("_micros").isNull(), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
+    both = at.withColumn("_next", F.explode(copies)).withColumn("_slice", F.expr(f"(_micros - _at) div {span} + _next"))
+    key = Window.partitionBy(*partition_by, "_slice")
+    up, down = (key.orderBy(o).rangeBetween(Window.unboundedPreceding, Window.currentRow) for o in (F.asc("_at"), F.desc("_at")))
+    parts = both.withColumns({f"_part_{n}": a.over(key.orderBy("_at").rowsBetween(0, 0)) for n, (a, _) in partial.items()})
+    own = {n: merge[how](F.when(F.col("_next") == 0, F.col(f"_part_{n}"))).over(up) for n, (_, how) in partial.items()}
+    before = {n: merge[how](F.when(F.col("_next") == 1, F.col(f"_part_{n}"))).over(down) for n, (_, how) in partial.items()}
+    out = parts.withColumns({f"_own_{n}": x for n, x in own.items()}).withColumns({f"_before_{n}": x for n, x in before.items()}).where("_next = 0")
+
+    def total(n, how):
+        return _merged(F.col(f"_before_{n}"), F.col(f"_own_{n}"), how).cast(parts.schema[f"_part_{n}"].dataType).alias(n)
+
+    return out.select(*df.columns, *(total(n, how) for n, (_, how) in partial.items()))
+
+
+def _merged(a: Column, b: Column, how: str) -> Column:
+    """Two parts of an aggregate; one that saw no value is null."""
+    plus = {"sum": lambda a, b: a + b, "min": F.least, "max": F.greatest}
+    return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(plus[how](a, b))
+
+
 def over_running(df: DataFrame, partition_by: list, order_by: str, partial: dict[str, tuple[Column, str]], slice_size: str) -> DataFrame:
     """RANGE UNBOUNDED PRECEDING for keys that are few and hot: sums, counts, minima and maxima, spread over time slices.
 

@@ -169,7 +169,7 @@ simple("over_running", "events", lambda e: rank.over(e, ["user_id"], "ts", {"s":
        "SELECT event_id, ROUND(SUM(value) OVER w, 4) AS s, COUNT(value) OVER w AS n, MIN(value) OVER w AS lo, MAX(value) OVER w AS hi FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING)")
 simple("over_rows", "events", lambda e: rank.over(e.withColumn("o", F.struct("ts", "event_id")), ["user_id"], "o", {"s": F.sum("event_id")}, ("rows", 3)).select("event_id", "s"),
        "SELECT event_id, (SUM(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 3 PRECEDING))::BIGINT AS s FROM events")
-simple("over_range", "events", lambda e: rank.over(e, ["event_type"], "ts", {"n": F.count("*"), "hi": F.max("value")}, ("range", "2 HOURS")).select("event_id", "n", "hi"),
+simple("over_range", "events", lambda e: rank.over_interval(e, ["event_type"], "ts", {"n": (F.count("*"), "sum"), "hi": (F.max("value"), "max")}, "2 HOURS").select("event_id", "n", "hi"),
        "SELECT event_id, COUNT(*) OVER w AS n, MAX(value) OVER w AS hi FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 2 HOUR PRECEDING AND CURRENT ROW)")
 simple("over_avg_int", "events", lambda e: rank.over(e, ["event_type"], "ts", {"s": F.sum(c("user_id") - 600), "n": F.count("user_id")}).select("event_id", E.divide_int(c("s"), c("n")).alias("a")),
        "SELECT event_id, CAST((SUM(user_id - 600) OVER w) // (COUNT(*) OVER w) AS BIGINT) AS a FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts RANGE UNBOUNDED PRECEDING)")

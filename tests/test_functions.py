@@ -121,3 +121,25 @@ def test_interval_join_against_all_pairs(spark):
         assert sorted(map(str, ((r.a, r.b) for r in got.collect()))) == sorted(map(str, pairs + lone[how])), how
     plan = joins.interval_join(left, right, left["ka"] == right["kb"], left["ta"], right["tb"], "-7 SECONDS", "3 SECONDS")._jdf.queryExecution().optimizedPlan().toString()
     assert "_l_bucket" in plan and "_r_bucket" in plan
+
+
+def test_interval_frames_are_two_running_aggregates(spark):
+    import random
+
+    from streamql.plans import catalog
+
+    rng = random.Random(7)
+    # Times before 1970, at the slices' bounds, one microsecond beside them, equal ones and none; a key that is null.
+    times = [None, *range(-12_000_000, 12_000_001, 1_000_000), *(5_000_000 * i + d for i in (-2, -1, 0, 1, 2) for d in (-1, 1))]
+    rows = [(i, rng.choice(["a", "a", "b", None]), rng.choice(times), rng.choice([None, 1, 2, 3, 9]), rng.choice([None, 0.5, float("nan"), -2.0])) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, k string, m long, v int, x double")
+    aggs = {"n": (F.count("*"), "sum"), "c": (F.count("v"), "sum"), "s": (F.sum("v"), "sum"), "d": (F.sum(F.col("v").cast("decimal(5,2)")), "sum"), "lo": (F.min("v"), "min"), "hi": (F.max("x"), "max")}
+    for kind in ("timestamp", "timestamp_ntz"):
+        t = df.withColumn("ts", F.timestamp_micros("m").cast(kind))
+        got = rank.over_interval(t, ["k"], "ts", aggs, "5 SECONDS")
+        want = rank.over(t, ["k"], "ts", {n: a for n, (a, _) in aggs.items()}, ("range", "5 SECONDS"))
+        assert got.dtypes == want.dtypes and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert sorted(map(str, rank.over_interval(t, ["k"], "ts", aggs, "0 SECONDS").collect())) == sorted(map(str, rank.over(t, ["k"], "ts", {n: a for n, (a, _) in aggs.items()}, ("range", "0 SECONDS")).collect()))
+    # A frame of an interval would take up all its rows again for each row, in as many tasks as there are keys.
+    plan = catalog.QUERIES["over_range"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RangeFrame, -" not in plan and "_slice" in plan
