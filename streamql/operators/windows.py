@@ -3,7 +3,7 @@
 Each table function appends window_start, window_end and window_time (end - 1 ms).
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WINDOW = ("window_start", "window_end", "window_time")
@@ -95,3 +95,29 @@ def session_agg(df: DataFrame, ts: str, gap: str, keys: list, aggs: list[Column]
     out = df.groupBy(*keys, F.session_window(ts, gap).alias("_w")).agg(*aggs)
     rest = [c for c in out.columns if c != "_w" and c not in keys]
     return out.select(*keys, F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), (F.col("_w.end") - F.expr("INTERVAL 1 MILLISECOND")).alias("window_time"), *rest)
+
+
+def session_agg_sliced(df: DataFrame, ts: str, gap: str, keys: list, partial: dict[str, tuple[Column, str]], slice_size: str, tasks: int | None = None) -> DataFrame:
+    """session_agg for keys that are few and hot: sessions of time slices, those at a slice's bounds then joined across them.
+
+    partial: as in hop_agg. slice_size is to be many times the gap. A session more than the gap
+    away from its slice's bounds is whole; of the others a key has two a slice at most, a small
+    table. A key is so dealt to as many tasks as it has slices; tasks states their number,
+    which is Spark's otherwise. Rows are dealt unaggregated, as few of them share a time.
+    """
+    by = [*keys, "_slice"]
+    sliced = df.withColumn("_s", F.window(ts, slice_size)).withColumn("_slice", F.col("_s.start")).drop("_s")
+    dealt = sliced.repartition(tasks, *by) if tasks else sliced.repartition(*by)
+    own = dealt.groupBy(*by, F.session_window(ts, gap).alias("_w")).agg(F.min(ts).alias("_start"), F.max(ts).alias("_last"), *(a.alias(n) for n, (a, _) in partial.items()))
+    # By the aggregated times, as Spark tests a condition on the session's own ones before rows are merged.
+    wait, own = F.expr(f"INTERVAL {gap}"), own.withColumn("_s", F.window("_slice", slice_size))
+    open_ = (F.col("_start") <= F.col("_s.start") + wait) | (F.col("_last") + wait >= F.col("_s.end"))
+    own = own.withColumn("_end", F.col("_w.end"))
+    order = Window.partitionBy(*keys).orderBy("_start")
+    bounds = own.where(open_).withColumn("_new", F.coalesce(F.col("_start") > F.lag("_end").over(order), F.lit(True)).cast("long"))
+    bounds = bounds.withColumn("_session", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    merge = {"sum": F.sum, "min": F.min, "max": F.max}
+    merged = bounds.groupBy(*keys, "_session").agg(F.min("_start").alias("_start"), F.max("_end").alias("_end"), *(merge[how](n).cast(own.schema[n].dataType).alias(n) for n, (_, how) in partial.items()))
+    rest = [*keys, "_start", "_end", *partial]
+    out = own.where(~open_).select(*rest).unionByName(merged.select(*rest))
+    return out.select(*keys, F.col("_start").alias("window_start"), F.col("_end").alias("window_end"), (F.col("_end") - F.expr("INTERVAL 1 MILLISECOND")).alias("window_time"), *partial)

@@ -14,6 +14,8 @@ from streamql.functions import expressions as E
 from streamql.operators import joins, rank, windows
 
 PER_EVENT = 20
+#: Auction events that one task makes, so that tasks stay alike as the stream grows.
+PER_TASK = 1_000_000
 #: Early enough in the day that hours of several kinds come up at any scale.
 START = "2024-01-01 07:55:00"
 STATES = ("OR", "ID", "CA", "WA", "NY", "TX")  # fixed values of the generator
@@ -29,10 +31,16 @@ def events(spark, sf_dir):
 
 def stream(spark, n):
     """The first n events."""
-    e = spark.range(n).withColumnRenamed("id", "i").withColumn("b", F.expr("i div 50")).withColumn("p", c("i") % 50)
+    parts = max(spark.sparkContext.defaultParallelism, -(-n // PER_TASK))
+    e = spark.range(0, n, 1, parts).withColumnRenamed("id", "i").withColumn("b", F.expr("i div 50")).withColumn("p", c("i") % 50)
     return e.withColumn("dateTime", F.expr(f"TIMESTAMP_NTZ'{START}' + make_dt_interval(0, 0, 0, cast(b + p * 0.01 as decimal(18,6)))"))
 
 
+def tasks(e):
+    """As many tasks as make the stream, for a step that deals out all of its rows."""
+    return e.rdd.getNumPartitions()
+
+
 def person(e):
     state = F.element_at(F.array(*map(F.lit, STATES)), (c("b") % 6 + 1).cast("int"))
     return e.where("p = 0").select(c("b").alias("id"), F.concat(F.lit("person-"), "b").alias("name"), F.concat(F.lit("city-"), c("b") % 1000).alias("city"), state.alias("state"), "dateTime")
@@ -119,7 +127,7 @@ query(9, "SELECT id, bidder, price FROM (SELECT a.id, b.bidder, b.price, b.dateT
 query(10, "SELECT auction, price, strftime(dateTime, '%Y-%m-%d') AS d, strftime(dateTime, '%H:%M') AS t FROM bid")(lambda e: bid(e).select("auction", "price", F.date_format("dateTime", "yyyy-MM-dd").alias("d"), F.date_format("dateTime", "HH:mm").alias("t")))
 query(11, """, g AS (SELECT bidder, dateTime, CASE WHEN dateTime <= lag(dateTime) OVER w + INTERVAL 900 MILLISECOND THEN 0 ELSE 1 END AS new FROM bid WINDOW w AS (PARTITION BY bidder ORDER BY dateTime)), s AS (SELECT *, SUM(new) OVER (PARTITION BY bidder ORDER BY dateTime ROWS UNBOUNDED PRECEDING) AS sid FROM g)
     SELECT bidder, COUNT(*) AS n, MIN(dateTime) AS window_start, MAX(dateTime) + INTERVAL 900 MILLISECOND AS window_end FROM s GROUP BY bidder, sid""")(
-    lambda e: windows.session_agg(bid(e), "dateTime", "900 milliseconds", ["bidder"], [F.count("*").alias("n")]).drop("window_time"))
+    lambda e: windows.session_agg_sliced(bid(e), "dateTime", "900 milliseconds", ["bidder"], {"n": (F.count("*"), "sum")}, "1 HOUR", tasks(e)).drop("window_time"))
 query(12, f"SELECT bidder, COUNT(*) AS n, {WINDOW_10} AS window_start FROM bid GROUP BY ALL")(lambda e: windows.window_agg(windows.tumble(bid(e), "dateTime", "10 seconds"), ["bidder"], [F.count("*").alias("n")]).drop("window_end"))
 
 

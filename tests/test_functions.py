@@ -143,3 +143,27 @@ def test_interval_frames_are_two_running_aggregates(spark):
     # A frame of an interval would take up all its rows again for each row, in as many tasks as there are keys.
     plan = catalog.QUERIES["over_range"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "RangeFrame, -" not in plan and "_slice" in plan
+
+
+def test_sliced_sessions_join_across_slices(spark):
+    import random
+
+    from streamql.plans import nexmark
+
+    rng = random.Random(11)
+    rows = [(k, rng.choice([None, 1, 2, 9]), m) for k in ("a", "b", None) for m in [None, *(rng.randrange(-40_000, 40_000) for _ in range(60)), *range(-13_000, 14_000, 1_000), *range(19_001, 27_000, 1_001), 9_999, 10_000, -10_000]]
+    df = spark.createDataFrame(rows, "k string, v int, ms long")
+    aggs = {"n": (F.count("*"), "sum"), "s": (F.sum("v"), "sum"), "d": (F.sum(F.col("v").cast("decimal(5,2)")), "sum"), "lo": (F.min("v"), "min"), "hi": (F.max("v"), "max")}
+    for kind in ("timestamp", "timestamp_ntz"):
+        t = df.withColumn("ts", F.timestamp_millis("ms").cast(kind))
+        # Gaps below, at and above the slice; sessions over several slices, and over none but their own.
+        for gap, size in (("1 second", "10 seconds"), ("1 second", "5 seconds"), ("2 seconds", "2 seconds"), ("3 seconds", "1 second"), ("200 milliseconds", "10 seconds")):
+            want = windows.session_agg(t, "ts", gap, ["k"], [a.alias(n) for n, (a, _) in aggs.items()])
+            for tasks in (None, 3):
+                got = windows.session_agg_sliced(t, "ts", gap, ["k"], aggs, size, tasks)
+                assert got.dtypes == want.dtypes and sorted(map(str, got.collect())) == sorted(map(str, want.collect())), (kind, gap, size)
+    # Tasks grow with the stream, and its 46 bidders are dealt to all of them.
+    e = nexmark.stream(spark, 20 * nexmark.PER_TASK)
+    assert nexmark.tasks(e) == 20
+    got = windows.session_agg_sliced(nexmark.bid(nexmark.stream(spark, 3_000_000)), "dateTime", "900 milliseconds", ["bidder"], {"n": (F.count("*"), "sum")}, "1 HOUR", 20)
+    assert "hashpartitioning(bidder" in (plan := got._jdf.queryExecution().executedPlan().toString()) and "_slice" in plan and "REPARTITION_BY_NUM" in plan
