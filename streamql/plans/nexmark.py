@@ -146,7 +146,14 @@ _STATS = "COUNT(*) AS n, COUNT(*) FILTER (WHERE price < 100) AS low, COUNT(*) FI
 def _stats(e, keys):
     when = lambda x, v=1: F.when(x, v)
     low, mid, high = c("price") < 100, (c("price") >= 100) & (c("price") < 800), c("price") >= 800
-    return bid(e).withColumn("day", F.date_format("dateTime", "yyyy-MM-dd")).groupBy(*keys).agg(F.count("*").alias("n"), F.count(when(low)).alias("low"), F.count(when(mid)).alias("mid"), F.count(when(high)).alias("high"), F.count_distinct("bidder").alias("bidders"), F.count_distinct(when(high, c("bidder"))).alias("high_bidders"), F.count_distinct("auction").alias("auctions"))
+    b = bid(e).withColumn("day", F.date_format("dateTime", "yyyy-MM-dd"))
+    # Auctions grow with the stream: dealt to as many tasks as make it, each of which counts its own. Bidders are few and hot: combined before the shuffle.
+    own = b.repartition(tasks(e), *keys, "auction").groupBy(*keys, "auction").agg(F.count("*").alias("n"), F.count(when(low)).alias("low"), F.count(when(mid)).alias("mid"), F.count(when(high)).alias("high"))
+    counts = own.groupBy(*keys).agg(*(F.sum(x).alias(x) for x in ("n", "low", "mid", "high")), F.count("auction").alias("auctions"))
+    bidders = b.groupBy(*keys).agg(F.count_distinct("bidder").alias("bidders"), F.count_distinct(when(high, c("bidder"))).alias("high_bidders"))
+    of = [c(k).alias(f"_{k}") for k in keys]
+    same = [c(k).eqNullSafe(c(f"_{k}")) for k in keys]
+    return counts.join(bidders.select(*of, "bidders", "high_bidders"), same).select(*keys, "n", "low", "mid", "high", "bidders", "high_bidders", "auctions")
 
 
 query(15, f"SELECT strftime(dateTime, '%Y-%m-%d') AS day, {_STATS} FROM bid GROUP BY ALL")(lambda e: _stats(e, ["day"]))

@@ -167,3 +167,14 @@ def test_sliced_sessions_join_across_slices(spark):
     assert nexmark.tasks(e) == 20
     got = windows.session_agg_sliced(nexmark.bid(nexmark.stream(spark, 3_000_000)), "dateTime", "900 milliseconds", ["bidder"], {"n": (F.count("*"), "sum")}, "1 HOUR", 20)
     assert "hashpartitioning(bidder" in (plan := got._jdf.queryExecution().executedPlan().toString()) and "_slice" in plan and "REPARTITION_BY_NUM" in plan
+
+
+def test_distinct_auctions_are_counted_in_as_many_tasks_as_the_stream_has(spark):
+    from streamql.plans import nexmark
+
+    e = nexmark.stream(spark, 20 * nexmark.PER_TASK)
+    for keys in (["day"], ["channel", "day"]):
+        plan = nexmark._stats(e, keys)._jdf.queryExecution().executedPlan().toString()
+        assert any("auction#" in line and ", 20), REPARTITION_BY_NUM" in line for line in plan.split("\n")), keys
+        # The auctions are not copied beside the bidders for one shuffle of all distinct values.
+        assert not any("Expand" in line and "auction#" in line for line in plan.split("\n")), keys
