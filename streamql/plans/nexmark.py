@@ -161,7 +161,9 @@ query(16, f"SELECT channel, strftime(dateTime, '%Y-%m-%d') AS day, {_STATS} FROM
 query(17, "SELECT auction, COUNT(*) AS n, MIN(price) AS lo, MAX(price) AS hi, CAST(SUM(price) // COUNT(*) AS BIGINT) AS a, SUM(price)::BIGINT AS s FROM bid GROUP BY ALL")(
     lambda e: bid(e).groupBy("auction").agg(F.count("*").alias("n"), F.min("price").alias("lo"), F.max("price").alias("hi"), F.expr("sum(price) div count(*)").alias("a"), F.sum("price").alias("s")))
 query(18, "SELECT auction, bidder, price FROM bid QUALIFY row_number() OVER (PARTITION BY bidder, auction ORDER BY dateTime DESC, i DESC) = 1")(lambda e: rank.dedup(bid(e), ["bidder", "auction"], "dateTime", "i", "last").select("auction", "bidder", "price"))
-query(19, "SELECT auction, bidder, price, row_number() OVER (PARTITION BY auction ORDER BY price DESC, i) AS rn FROM bid QUALIFY rn <= 10")(lambda e: rank.topn(bid(e), ["auction"], [F.desc("price"), F.asc("i")], 10, rank_col="rn").select("auction", "bidder", "price", "rn"))
+# Dealt to as many tasks as make the stream. An auction has some 15 bids: to rank in the tasks before would sort all rows twice and spare a third.
+query(19, "SELECT auction, bidder, price, row_number() OVER (PARTITION BY auction ORDER BY price DESC, i) AS rn FROM bid QUALIFY rn <= 10")(
+    lambda e: rank.topn(bid(e).repartition(tasks(e), "auction"), ["auction"], [F.desc("price"), F.asc("i")], 10, rank_col="rn").select("auction", "bidder", "price", "rn"))
 query(20, "SELECT b.auction, b.price, a.itemName, a.category FROM bid b JOIN auction a ON b.auction = a.id WHERE a.category = 10")(lambda e: bid(e).join(auction(e).where("category = 10").select("id", "itemName", "category"), c("auction") == c("id")).select("auction", "price", "itemName", "category"))
 query(21, "SELECT auction, CASE WHEN lower(channel) = 'channel-1' THEN '1' WHEN regexp_matches(url, 'test/(\\d*7)$') THEN regexp_extract(url, 'test/(\\d*7)$', 1) END AS id FROM bid")(
     lambda e: bid(e).select("auction", F.when(F.lower("channel") == "channel-1", "1").otherwise(E.regexp_extract(c("url"), r"test/(\d*7)$", 1)).alias("id")))

@@ -178,3 +178,15 @@ def test_distinct_auctions_are_counted_in_as_many_tasks_as_the_stream_has(spark)
         assert any("auction#" in line and ", 20), REPARTITION_BY_NUM" in line for line in plan.split("\n")), keys
         # The auctions are not copied beside the bidders for one shuffle of all distinct values.
         assert not any("Expand" in line and "auction#" in line for line in plan.split("\n")), keys
+
+
+def test_topn_of_the_stream_is_dealt_to_its_tasks(spark, monkeypatch):
+    from streamql.plans import nexmark
+
+    sf = "/root/testdata/sf0.001"
+    few = {q: sorted(map(str, nexmark.QUERIES[q](spark, sf).collect())) for q in ("nexmark_q11", "nexmark_q16", "nexmark_q19")}
+    monkeypatch.setattr(nexmark, "PER_TASK", 1_000)  # 20 tasks
+    plan = nexmark.QUERIES["nexmark_q19"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and any("auction#" in line and ", 20), REPARTITION_BY_NUM" in line for line in plan.split("\n")), plan
+    for q, rows in few.items():
+        assert sorted(map(str, nexmark.QUERIES[q](spark, sf).collect())) == rows, q
